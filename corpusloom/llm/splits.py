@@ -49,7 +49,8 @@ def contract(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if roots is not None:
             moved = sized_join(roots, hook.withColumnRenamed("u", "root"), ["root"], "left")
             new = new.unionByName(moved.select("label", F.coalesce("m", "root").alias("root")))
-        roots = scratch.save(new, "roots")
+        # a label two hops away can hook again later; both its entries end at the smallest label of the set
+        roots = scratch.save(new.groupBy("label").agg(F.min("root").alias("root")), "roots")
         for end in ("u", "v"):
             there = hook.select(F.col("u").alias(end), "m")
             edges = sized_join(edges, there, [end], "left").withColumn(end, F.coalesce("m", end)).drop("m")
