@@ -7,12 +7,54 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import copies, lookalike, splits
+from corpusloom.llm import consensus, copies, language, leakage, lookalike, mixing, mojibake, splits, tokenbudget
 from corpusloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def network(spark: SparkSession, sf: str) -> language.Network:
+    """Fitted to the three texts of business, which are each in one language, and to documents labelled with the other two."""
+    business, documents = table(spark, sf, "business"), table(spark, sf, "documents")
+    parts = [business.select(F.col(c).alias("text"), F.lit(x).alias("lang")) for c, x in (("bn", "bangla"), ("bl", "banglish"), ("en", "english"))]
+    parts.append(documents.where("lower(trim(lang)) in ('french', 'hindi')").select("text", "lang"))
+    return language.fit(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]), "text", "lang")
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return language.mislabelled(table(spark, sf, "records"), "rid", "text", "bucket", network(spark, sf))
+
+
+def p1_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return language.languages_of(table(spark, sf, "records"), "rid", "text", network(spark, sf)).select("rid", "lang", "languages", "confidence")
+
+
+def p1_segments(spark: SparkSession, sf: str) -> DataFrame:
+    made = language.languages_of(table(spark, sf, "records"), "rid", "text", network(spark, sf))
+    return made.select("rid", F.posexplode("segments").alias("segment", "s")).select("rid", "segment", "s.*")
+
+
+def graded(spark: SparkSession, sf: str) -> consensus.Consensus:
+    return consensus.fit(table(spark, sf, "disagreements"), ["query_id", "document_id"], "audit_reviewer_id", "audit_grade", "audited_at", "original_grade")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    people = graded(spark, sf).annotators().where(F.col("annotator") != consensus.ORIGINAL)
+    return people.where("items >= 15 and wrong > items / 2").select(F.col("annotator").alias("audit_reviewer_id"))
+
+
+def p2_consensus(spark: SparkSession, sf: str) -> DataFrame:
+    return graded(spark, sf).items()
+
+
+def p2_reviewers(spark: SparkSession, sf: str) -> DataFrame:
+    return graded(spark, sf).annotators()
+
+
+def p2_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    return graded(spark, sf).agreement()
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return splits.contradictory(table(spark, sf, "records"), "rid", "group_id", "source", "split")
 
@@ -45,6 +87,47 @@ def p5_consistent(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.consistent(looked_at(spark, sf), ["field_name", "key"], "text").select("field_name", "key", "look")
 
 
+def counted(spark: SparkSession, sf: str) -> DataFrame:
+    return tokenbudget.record_tokens(table(spark, sf, "records"), table(spark, sf, "sources"), table(spark, sf, "pieces"))
+
+
+def p6_budget(spark: SparkSession, sf: str) -> DataFrame:
+    return tokenbudget.budget(counted(spark, sf))
+
+
+def p6_record_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return counted(spark, sf)
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "heldout"), "item_id", "text")
+
+
+def p7_alignments(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.alignments(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "heldout"), "item_id", "text")
+
+
+def mixed(spark: SparkSession, sf: str, tokenizer: str = f"{mixing.TOKENIZERS}/byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    sized = mixing.public_counts(table(spark, sf, "documents").select("doc_id", "source", "text"), "text", tokenizer).drop("text")
+    return mixing.mix(sized, "doc_id", "source", "n_tokens", table(spark, sf, "mixture"))
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixed(spark, sf)
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.reached(mixed(spark, sf), "source", table(spark, sf, "mixture"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mojibake.repairs(table(spark, sf, "documents"), "doc_id", "source", ["text"]).select("doc_id")
+
+
+def p9_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    return mojibake.repairs(table(spark, sf, "documents"), "doc_id", "source", ["text"])
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in sorted(globals().items()) if k[0] == "p" and k[1:2].isdigit()}
 
