@@ -103,6 +103,17 @@ def pivot(keys: list, sizes: np.ndarray, parts: np.ndarray, seed: str) -> tuple[
     return parts, open_
 
 
+def _settle(seed: str):
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        name = f"{seed}/{group['source'].iloc[0]}/{group['bucket'].iloc[0]}"
+        group = group.reset_index(drop=True)
+        group["p"], left = pivot(group["k"].tolist(), group["n"].to_numpy(float), group["p"].to_numpy(), name)
+        group["open"] = group.index == left
+        return group
+
+    return settle
+
+
 def mix(df: DataFrame, key: str, source: str, tokens: str, mixture: DataFrame, total: float | None = None, seed: int = 17) -> DataFrame:
     """(key, source, n_tokens, uses): every record of the mixture's sources with how often the mix uses it, 0 included.
 
@@ -135,15 +146,7 @@ def mix(df: DataFrame, key: str, source: str, tokens: str, mixture: DataFrame, t
     level = due.where(f"p > {EDGE}").select("k", "source", "n", "p", F.pmod(F.xxhash64(F.lit(seed), "k"), "buckets").alias("bucket"))
     done, turn = [], 0
     while True:
-
-        def settle(group: pd.DataFrame, turn=turn) -> pd.DataFrame:
-            s, b = group["source"].iloc[0], int(group["bucket"].iloc[0])
-            group = group.reset_index(drop=True)
-            group["p"], left = pivot(group["k"].tolist(), group["n"].to_numpy(float), group["p"].to_numpy(), f"{seed}/{turn}/{s}/{b}")
-            group["open"] = group.index == left
-            return group
-
-        made = level.groupBy("source", "bucket").applyInPandas(settle, f"k {kind}, source string, n bigint, p double, bucket bigint, open boolean")
+        made = level.groupBy("source", "bucket").applyInPandas(_settle(f"{seed}/{turn}"), f"k {kind}, source string, n bigint, p double, bucket bigint, open boolean")
         made = scratch.save(made, f"level{turn}")
         done.append(made.where("not open").select("k", "p"))
         left = made.where("open").select("k", "source", "n", "p", F.floor(F.col("bucket") / FAN).alias("bucket"))

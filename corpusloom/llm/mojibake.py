@@ -29,8 +29,8 @@ ENCODINGS = ("cp1252", "latin-1", "cp1251", "cp1256", "mac_roman", "cp437", "cp8
 STEPS = 2
 LOST = "�"
 ROUNDS = 5
-#: Pseudo-counts of a character not seen in clean text, and of a chain in a source.
-UNSEEN, CHAIN = 0.05, 0.5
+#: Pseudo-counts of a character not seen in clean text, and of a chain and of no chain in a source.
+UNSEEN, CHAIN, CLEAN = 1e-3, 0.5, 50.0
 
 
 @lru_cache
@@ -160,9 +160,10 @@ class Weights:
 
     def of(self, source: str | None) -> dict[str, float]:
         """Chain probabilities of a source: its counts, with the whole corpus's proportions as prior."""
-        own, every = self.chains.get(source, {}), sum(self.pooled.values()) or 1.0
+        own = self.chains.get(source, {})
         names = {"", *ENCODINGS, *self.pooled}
-        prior = {n: (self.pooled.get(n, 0.0) + CHAIN) / (every + CHAIN * len(names)) for n in names}
+        given = {n: self.pooled.get(n, 0.0) + (CHAIN if n else CLEAN) for n in names}
+        prior = {n: x / sum(given.values()) for n, x in given.items()}
         mass = sum(own.values())
         return {n: (own.get(n, 0.0) + 10 * prior[n]) / (mass + 10) for n in names}
 
@@ -209,6 +210,9 @@ def learn(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, Weights]:
                 moved: Counter = Counter()
                 for s, x, n, own in zip(d["s"], d["x"], d["n"], d["own"]):
                     of, name = w.of(s if own else None), s if own else ""
+                    for c in x:
+                        if c > "\x7f":
+                            moved[None, "raw", c] += n
                     found = clusters(readings(x))
                     for cluster in found:
                         p = weigh(x, cluster, w.table, w.total, of)
@@ -220,16 +224,23 @@ def learn(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, Weights]:
                                     moved[None, "", c] -= n * q
                                 for c in made:
                                     if c > "\x7f":
-                                        moved[None, "", c] += n * q
+                                        moved[None, "made", c] += n * q
                 s, k, c = zip(*moved) if moved else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(k, pa.string()), pa.array(c, pa.string()), pa.array(list(moved.values()), pa.float64())], ["s", "k", "c", "n"])
 
         sums = stretches.mapInArrow(expect, "s string, k string, c string, n double").groupBy("s", "k", "c").agg(F.sum("n").alias("n")).collect()
         chains: dict = {}
         now = dict(table)
+        raw = {r.c: r.n for r in sums if r.k == "raw"}
         for r in sums:  # bounded by SOURCES times chains, and by the characters there are
-            if r.s is None:
+            if r.s is None and r.k == "":
                 now[r.c] = max(now.get(r.c, 0.0) + r.n, 0.0)
+            elif r.s is None and r.k == "made":
+                # what only ever comes from decoding supports no further decoding
+                outside = max(table.get(r.c, 0.0) - raw.get(r.c, 0.0), 0.0)
+                now[r.c] = now.get(r.c, 0.0) + r.n * outside / (outside + 1)
+            elif r.s is None:
+                continue
             else:
                 chains.setdefault(r.s, {})[r.k] = max(r.n, 0.0)
         weights = Weights(now, chains)
