@@ -120,21 +120,17 @@ def clusters(found: list[tuple[int, int, str, str]]) -> list[list[tuple[int, int
     return out
 
 
-def _level(table: dict[str, float], total: float, text: str) -> float:
-    """Log-probability of the non-ASCII characters of a text as clean text."""
-    return sum(math.log((table.get(c, 0.0) + UNSEEN) / total) for c in text if c > "\x7f")
-
-
-def weigh(text: str, cluster: list, table: dict[str, float], total: float, chains: dict[str, float]) -> list[float]:
+def weigh(text: str, cluster: list, level: dict[str, float], unseen: float, chains: dict[str, float]) -> list[float]:
     """Posteriors of the readings of a cluster; what they leave is the posterior that nothing is garbled.
 
-    A reading's text is the whole cluster with its own stretch restored, so readings of different places are comparable.
+    A reading stands for the whole cluster with its own stretch restored, so that readings of different places compare: each
+    is weighed by the log-levels of its characters beyond ASCII against those of the stretch it replaces.
     """
-    low, high = cluster[0][0], max(r[1] for r in cluster)
     least = min(chains.values(), default=1e-6)
-    logs = [_level(table, total, text[low:high]) + math.log(chains.get("", 0.5))]
+    logs = [math.log(chains.get("", 0.5))]
     for a, b, chain, made in cluster:
-        logs.append(_level(table, total, text[low:a] + made + text[b:high]) + math.log(chains.get(chain, least)))
+        gain = sum([level.get(c, unseen) for c in made if c > "\x7f"]) - sum([level.get(c, unseen) for c in text[a:b] if c > "\x7f"])
+        logs.append(gain + math.log(chains.get(chain, least)))
     top = max(logs)
     weights = [math.exp(x - top) for x in logs]
     return [w / sum(weights) for w in weights[1:]]
@@ -152,7 +148,9 @@ class Weights:
 
     def __init__(self, table: dict[str, float], chains: dict[tuple, dict[str, float]]):
         self.table, self.chains = table, chains
-        self.total = sum(table.values()) + UNSEEN * max(len(table), 1)
+        total = sum(table.values()) + UNSEEN * max(len(table), 1)
+        self.level = {c: math.log((n + UNSEEN) / total) for c, n in table.items()}
+        self.unseen = math.log(UNSEEN / total)
         pooled: Counter = Counter()
         for of in chains.values():
             pooled.update(of)
@@ -199,23 +197,34 @@ def learn(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, Weights]:
     table = {r.x: r.n for r in counted.where("s is null").collect()}
     stretches = counted.where("s is not null")
     largest = stretches.groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(SOURCES).select("s")
-    stretches = scratch.save(sized_join(stretches, scratch.save(largest.withColumn("own", F.lit(True)), "largest"), ["s"], "left"), "stretches")
+    stretches = sized_join(stretches, scratch.save(largest.withColumn("own", F.lit(True)), "largest"), ["s"], "left")
+    what = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32()), ("chain", pa.string()), ("made", pa.string())]))
+
+    def read(batches):
+        for b in batches:
+            made = [[dict(zip(("a", "z", "chain", "made"), r)) for r in readings(x)] for x in b.column("x").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, what)], [*b.schema.names, "found"])
+
+    # readings are made once for all rounds, spread evenly as there are few rows but much work in each
+    stretches = stretches.select("s", "x", "n", "own").repartition(spark.sparkContext.defaultParallelism, "x", "s")
+    stretches = scratch.save(stretches.mapInArrow(read, "s string, x string, n double, own boolean, found array<struct<a:int,z:int,chain:string,made:string>>"), "stretches")
     # the first guess: characters as counted, chains rare
     weights = Weights(table, {})
     for _ in range(ROUNDS):
 
         def expect(batches, w=weights):
+            prior: dict = {}
             for b in batches:
                 d = b.to_pydict()
                 moved: Counter = Counter()
-                for s, x, n, own in zip(d["s"], d["x"], d["n"], d["own"]):
-                    of, name = w.of(s if own else None), s if own else ""
+                for s, x, n, own, found in zip(d["s"], d["x"], d["n"], d["own"], d["found"]):
+                    name = s if own else ""
+                    of = prior.get(name) or prior.setdefault(name, w.of(s if own else None))
                     for c in x:
                         if c > "\x7f":
                             moved[None, "raw", c] += n
-                    found = clusters(readings(x))
-                    for cluster in found:
-                        p = weigh(x, cluster, w.table, w.total, of)
+                    for cluster in clusters([tuple(r.values()) for r in found]):
+                        p = weigh(x, cluster, w.level, w.unseen, of)
                         moved[name, "", ""] += n * (1 - sum(p))
                         for q, (a, z, chain, made) in zip(p, cluster):
                             if q > 1e-6:
@@ -272,10 +281,10 @@ def repairs(df: DataFrame, key: str, source: str, texts: list[str]) -> DataFrame
             of: dict = {}
             for k, s, f, t in zip(*(c.to_pylist() for c in b.columns)):
                 s = f"s{s}"
-                chains = of.setdefault(s, None) or of.__setitem__(s, w.of(s if s in w.chains else None)) or of[s]
+                chains = of.get(s) or of.setdefault(s, w.of(s if s in w.chains else None))
                 out, at, used, n = [], 0, [], 0
                 for cluster in clusters(readings(t)):
-                    p = weigh(t, cluster, w.table, w.total, chains)
+                    p = weigh(t, cluster, w.level, w.unseen, chains)
                     if sum(p) <= 0.5:
                         continue
                     # the likeliest readings that do not overlap
