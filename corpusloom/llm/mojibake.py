@@ -109,6 +109,19 @@ def readings(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+@lru_cache
+def runs() -> re.Pattern:
+    """Two or more characters in a row that bytes from 128 on have in any of the encodings: no stretch reaches over its ends."""
+    every = {c for e in ENCODINGS for c in to_byte(e)} | {LOST}
+    return re.compile("[" + "".join(map(re.escape, sorted(every))) + "]{2,}")
+
+
+@lru_cache(maxsize=100_000)
+def known(run: str) -> list[tuple[int, int, str, str]]:
+    """Readings of a run; workers keep them, as runs are mostly words that come again."""
+    return readings(run)
+
+
 def clusters(found: list[tuple[int, int, str, str]]) -> list[list[tuple[int, int, str, str]]]:
     """Readings whose places overlap, directly or through others, which compete with each other."""
     out, end = [], -1
@@ -185,8 +198,9 @@ def learn(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, Weights]:
             some = pc.fill_null(pc.match_substring_regex(b.column(1), suspect), False)
             found: Counter = Counter()
             for s, t in zip(b.column(0).filter(some).to_pylist(), b.column(1).filter(some).to_pylist()):
-                for cluster in clusters(readings(t)):
-                    found[s, t[cluster[0][0] : max(r[1] for r in cluster)]] += 1
+                for m in runs().finditer(t):
+                    if known(m[0]):
+                        found[s, m[0]] += 1
             made += [("s" if s is None else f"s{s}", x, float(n)) for (s, x), n in found.items()]
             s, x, n = zip(*made) if made else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(x, pa.string()), pa.array(n, pa.float64())], ["s", "x", "n"])
@@ -283,8 +297,8 @@ def repairs(df: DataFrame, key: str, source: str, texts: list[str]) -> DataFrame
                 s = f"s{s}"
                 chains = of.get(s) or of.setdefault(s, w.of(s if s in w.chains else None))
                 out, at, used, n = [], 0, [], 0
-                for cluster in clusters(readings(t)):
-                    p = weigh(t, cluster, w.level, w.unseen, chains)
+                for first, x, cluster in ((m.start(), m[0], c) for m in runs().finditer(t) for c in clusters(known(m[0]))):
+                    p = weigh(x, cluster, w.level, w.unseen, chains)
                     if sum(p) <= 0.5:
                         continue
                     # the likeliest readings that do not overlap
@@ -295,8 +309,8 @@ def repairs(df: DataFrame, key: str, source: str, texts: list[str]) -> DataFrame
                             chosen.append(cluster[i])
                             end |= set(range(a, z))
                     for a, z, chain, restored in sorted(chosen):
-                        out += [t[at:a], restored]
-                        at = z
+                        out += [t[at : first + a], restored]
+                        at = first + z
                         used.append(chain)
                         n += 1
                 text = "".join(out) + t[at:]
