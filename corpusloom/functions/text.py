@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 # fixed values: blanks of Unicode, and patterns for text that is not to be kept
 BLANK = r"[\t\n\x0B\f\r\x{85}\p{Z}]+"
@@ -22,7 +23,7 @@ SPLIT_SALT = "bn-corpus-v1:"
 NOT_KEY = r"[^\p{L}\p{M}\p{N}]"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def nfc(text: pa.Array) -> pa.Array:
     """Canonical composition, by Arrow batch; batches of ASCII only are passed on."""
     if pc.all(pc.string_is_ascii(text)).as_py() is not False:
@@ -98,7 +99,7 @@ def shingles(w: str | Column, n: int) -> Column:
 _bits: dict[str, np.ndarray] = {}
 
 
-@F.arrow_udf("bigint")
+@F.arrow_udf(LongType())
 def simhash64(text: pa.Array) -> pa.Array:
     """64-bit SimHash of a normalised text's lower-case words, with repeats; null below 12 words.
 

@@ -11,6 +11,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 # fixed values of the id space: four reserved ids, then 256 bytes, then pieces, then fused pairs of a blank and an id
 PAD, UNK, BOS, EOS, BYTES, PIECES = 0, 1, 2, 3, 4, 260
@@ -223,7 +224,7 @@ def from_pieces(pieces: DataFrame, most: int = 2_000_000) -> Model:
 def encoder(model: Model) -> Column:
     """A function of a text column giving its ids; null for null. The model travels with the task, words are remembered."""
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf(ArrayType(IntegerType()))
     def encode(text: pa.Array) -> pa.Array:
         return pa.array([None if t is None else model.encode(t) for t in text.to_pylist()], pa.list_(pa.int32()))
 
@@ -233,7 +234,7 @@ def encoder(model: Model) -> Column:
 def decoder(model: Model) -> Column:
     """A function of an id column giving the text; raises for ids that make no text."""
 
-    @F.arrow_udf("string")
+    @F.arrow_udf(StringType())
     def decode(ids: pa.Array) -> pa.Array:
         return pa.array([None if i is None else model.decode(i) for i in ids.to_pylist()], pa.string())
 
@@ -243,7 +244,7 @@ def decoder(model: Model) -> Column:
 def sampler(model: Model, alpha: float, seed: int) -> Column:
     """A function of a text and a key column drawing ids; the same key and seed draw the same."""
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf(ArrayType(IntegerType()))
     def draw(text: pa.Array, key: pa.Array) -> pa.Array:
         made = [None if t is None else model.sample(t, alpha, random.Random(f"{seed}/{k}")) for t, k in zip(text.to_pylist(), key.to_pylist())]
         return pa.array(made, pa.list_(pa.int32()))

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    for module in ("corpus", "tokenizer"):
+    for module in ("corpus", "tokenizer", "retrieval"):
         import_module(f"corpusloom.plans.{module}")
 
 
