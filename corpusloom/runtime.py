@@ -89,3 +89,21 @@ def need(df: DataFrame, *columns: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pick(df: DataFrame, **columns: str) -> DataFrame:
+    """The columns of df called by the values, named by the keys; other columns, whatever their names, do not matter.
+
+    A name is taken as it is written, else without regard to case; of several such columns the first. Raises if there is none.
+    """
+    names = df.columns
+    places = []
+    for c in columns.values():
+        found = [i for i, n in enumerate(names) if n == c] or [i for i, n in enumerate(names) if n.lower() == c.lower()]
+        if not found:
+            raise ValueError(f"there is no column {c!r} in {names}")
+        places.append(found[0])
+    if len({n.lower() for n in names}) == len(names):
+        return df.select(*[F.col(f"`{names[i]}`").alias(k) for i, k in zip(places, columns)])
+    numbered = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return numbered.select(*[F.col(f"c{i}").alias(k) for i, k in zip(places, columns)])
