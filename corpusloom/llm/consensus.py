@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import Scratch, need, sized_join
+from corpusloom.runtime import Scratch, pick, sized_join
 
 #: Pseudo-counts: of a matrix row on its own grade and elsewhere, and of each class.
 RIGHT, WRONG, CLASS = 2.0, 0.7, 1.0
@@ -43,12 +43,11 @@ def latest_grades(df: DataFrame, item: list[str], annotator: str, grade: str, at
     A null latest grade is unresolved and left out, as are rows without annotator. With original, the first grade of each item
     joins as annotator ORIGINAL, the least one if it is given differently in several rows.
     """
-    need(df, *item, annotator, grade, at, *([original] if original else []))
-    some = df.where(F.col(annotator).isNotNull())
-    last = some.groupBy(*item, F.col(annotator).alias("annotator")).agg(F.max(F.struct(at, grade)).alias("last"))
-    out = last.select(*item, F.col("annotator").cast("string").alias("annotator"), F.col(f"last.{grade}").alias("grade"))
+    df = pick(df, **{i: i for i in item}, annotator=annotator, grade_=grade, at_=at, **({"original_": original} if original else {}))
+    last = df.where("annotator is not null").groupBy(*item, "annotator").agg(F.max(F.struct("at_", "grade_")).alias("last"))
+    out = last.select(*item, F.col("annotator").cast("string").alias("annotator"), F.col("last.grade_").alias("grade"))
     if original:
-        first = df.groupBy(*item).agg(F.min(original).alias("grade"))
+        first = df.groupBy(*item).agg(F.min("original_").alias("grade"))
         out = out.unionByName(first.select(*item, F.lit(ORIGINAL).alias("annotator"), "grade"))
     return out.where("grade is not null")
 

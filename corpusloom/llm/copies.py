@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import codepoints as cp
-from corpusloom.runtime import Scratch, need, sized_join
+from corpusloom.runtime import Scratch, pick, sized_join
 
 #: Names that fields of records have.
 FIELD_NAMES = ("bn", "bl", "en", "title", "body", "note")
@@ -123,8 +123,7 @@ def copy_classes(df: DataFrame, key: str, text: str, scratch: Scratch, names: tu
     Null, empty and signless texts are left out; keys must be unique; repeated rows count as copies. Other columns are not
     read, so clashing names in them do no harm. An empty table gives no rows.
     """
-    need(df, key, text)
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = pick(df, k=key, t=text)
     kind = rows.schema["k"].dataType.simpleString()
 
     def cheap(batches):
@@ -171,5 +170,5 @@ def collapse(df: DataFrame, key: str, text: str, names: tuple[str, ...] = FIELD_
     classes, members = copies(df, key, text, scratch, names)
     further = sized_join(members, classes.select("class", "first"), ["class"]).where("k <> first").select("k")
     counted = classes.select(F.col("first").alias("k"), "copies")
-    kept = df.select(F.col(key).alias("k")).join(further, "k", "left_anti").join(counted, "k", "left")
+    kept = pick(df, k=key).join(further, "k", "left_anti").join(counted, "k", "left")
     return kept.select(F.col("k").alias(key), F.coalesce("copies", F.lit(1)).cast("bigint").alias("n_copies"))

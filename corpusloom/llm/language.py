@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.copies import FIELD_NAMES, field_patterns, fields
 from corpusloom.llm.lookalike import look
-from corpusloom.runtime import need
+from corpusloom.runtime import pick
 
 LANGUAGES = ("bangla", "banglish", "english", "french", "hindi")
 #: Labelled texts that a fit reads for each language, chosen by hash; the only bounded sample here.
@@ -40,7 +40,8 @@ FLOOR = -3.5
 WORDS = 400_000
 
 _word = re.compile(r"(?:[^\W\d_]|[̀-ͯऀ-ःऺ-ॏ॑-ॗॢॣঁ-ঃ়-্ৗৢৣ‌‍])+")
-_ends = re.compile(r"[।॥.?!…]+[\"”'’»)\]]*(?=\s|$)|[\r\n]+|\s[/|]\s")
+_ends = re.compile(r"[।॥.?!…]+[\"”'’»)\]]*(?=\s|$)|\n\s*\n|\s[/|]\s")
+_lines = re.compile(r"[\r\n]+")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -183,9 +184,20 @@ def plain(column: pa.Array) -> list[str | None]:
 def parts_of(text: str, starts: re.Pattern, names: tuple[str, ...] = FIELD_NAMES) -> list[str]:
     """Sentences, lines and field values of a text; field names are left out."""
     values = fields(text, names, starts)
-    out = []
+    out: list[str] = []
     for v in [text] if values is None else [v for _, v in values]:
-        out += _ends.split(v)
+        for sentence in _ends.split(v):
+            if "\n" not in sentence and "\r" not in sentence:
+                out.append(sentence)
+                continue
+            # a line too short to stand alone belongs to the sentence around it
+            lines = [""]
+            for line in _lines.split(sentence):
+                if len(_word.findall(lines[-1])) >= PART <= len(_word.findall(line)):
+                    lines.append(line)
+                else:
+                    lines[-1] += "\n" + line
+            out += lines
     return out
 
 
@@ -303,9 +315,7 @@ def train(texts: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES,
 
 def fit(labelled: DataFrame, text: str, language: str, languages: tuple[str, ...] = LANGUAGES, seed: int = 17) -> Network:
     """Train on SAMPLE labelled rows of each language, those of least hash; rows of null text or other labels are not read."""
-    need(labelled, text, language)
-    name = F.lower(F.trim(language))
-    rows = labelled.select(F.col(text).alias("t"), name.alias("l")).where("t is not null")
+    rows = pick(labelled, t=text, l=language).select("t", F.lower(F.trim("l")).alias("l")).where("t is not null")
     texts: list[tuple[str, str]] = []
     for x in languages:
         some = rows.where(F.col("l") == x).select("t", F.xxhash64(F.lit(seed), "t").alias("h")).orderBy("h", "t").limit(SAMPLE)
@@ -317,7 +327,7 @@ def fit(labelled: DataFrame, text: str, language: str, languages: tuple[str, ...
     return first if len(kept) == len(texts) else train(kept, languages, seed)
 
 
-def languages_of(df: DataFrame, key: str, text: str, network: Network, names: tuple[str, ...] = FIELD_NAMES, least: int = 3) -> DataFrame:
+def languages_of(df: DataFrame, key: str, text: str, network: Network, names: tuple[str, ...] = FIELD_NAMES, least: int = PART) -> DataFrame:
     """(key, languages, lang, confidence, segments) of every row.
 
     segments: text, lang, confidence, words of each sentence, line or field value. languages: those of segments with at least
@@ -325,8 +335,7 @@ def languages_of(df: DataFrame, key: str, text: str, network: Network, names: tu
     mean of the segments' weighted by words. A text without letters, empty or null has no segments, no languages and null lang.
     Repeated rows come out repeatedly; whole texts are read, whatever their length. Equal scores go to the first language.
     """
-    need(df, key, text)
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = pick(df, k=key, t=text)
     kind = rows.schema["k"].dataType.simpleString()
     item = pa.struct([("text", pa.string()), ("lang", pa.string()), ("confidence", pa.float64()), ("words", pa.int64())])
     state: dict = {}
@@ -358,12 +367,11 @@ def mislabelled(df: DataFrame, key: str, text: str, bucket: str, network: Networ
     Right is the only language, if it is one that buckets have, or code-mixed if there are several; case and outer blanks of
     the bucket do not count, and null, blank and placeholder buckets are never right.
     """
-    need(df, bucket)
-    named = df.select(key, text, F.lower(F.trim(bucket)).alias("bucket_"))
-    made = languages_of(named.select(F.struct(key, "bucket_").alias("k"), text), "k", text, network)
+    named = pick(df, key=key, t=text, bucket=bucket).withColumn("bucket", F.lower(F.trim("bucket")))
+    made = languages_of(named.select(F.struct("key", "bucket").alias("k"), "t"), "k", "t", network)
     right = F.when(F.size("languages") > 1, "code-mixed").otherwise(F.col("languages")[0])
     right = F.when(right.isin("bangla", "banglish", "english", "code-mixed"), right)
-    wrong = made.where(F.size("languages") > 0).where(~F.col("k.bucket_").eqNullSafe(right) | right.isNull())
-    return wrong.select(F.col(f"k.{key}").alias(key), F.explode("languages").alias("lang"))
+    wrong = made.where(F.size("languages") > 0).where(~F.col("k.bucket").eqNullSafe(right) | right.isNull())
+    return wrong.select(F.col("k.key").alias(key), F.explode("languages").alias("lang"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import codepoints as cp
-from corpusloom.runtime import Scratch, need
+from corpusloom.runtime import Scratch, pick
 
 SEED, WINDOW = 5, 10
 #: Items are searched for in blocks of this many words, so that what is sent to the executors is bounded; each block is a
@@ -151,13 +151,11 @@ def alignments(corpus: DataFrame, key: str, text: str, items: DataFrame, item: s
     WINDOW words have one window, those of fewer than SEED words none. Null and empty texts give nothing. Keys are taken as
     they are: repeated rows give repeated results. Equally rare seeds: the first in the window.
     """
-    need(corpus, key, text)
-    need(items, item, item_text)
     spark = corpus.sparkSession
     scratch = Scratch(spark, "leakage")
-    docs = corpus.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null")
+    docs = pick(corpus, k=key, t=text).where("t is not null")
     kind = docs.schema["k"].dataType.simpleString()
-    wanted = items.select(F.col(item).alias("i"), F.col(item_text).alias("t")).where("t is not null")
+    wanted = pick(items, i=item, t=item_text).where("t is not null")
     ikind = wanted.schema["i"].dataType.simpleString()
     blocks = 1 + int(wanted.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0) // BLOCK_WORDS
     schema = f"i {ikind}, k {kind}, score int, run int, matches int, item_from int, item_to int, doc_from int, doc_to int"

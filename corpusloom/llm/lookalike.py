@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import codepoints as cp
-from corpusloom.runtime import Scratch, need, sized_join
+from corpusloom.runtime import Scratch, pick, sized_join
 
 # fixed values: letters that look like a Latin one, each followed by it
 CYRILLIC = "аaеeоoрpсcуyхxіiјjѕsһhԁdԛqԝwүyѵvӏlАAВBЕEКKМMНHОOРPСCТTУYХXІIЈJЅSԌGԚQԜWҮYѴVӀIҺh"
@@ -87,8 +87,7 @@ def consistent(df: DataFrame, key: list[str], text: str) -> DataFrame:
 
     Repeated rows stay; other columns are not read. Works on whole texts of any length.
     """
-    need(df, *key, text)
-    rows = df.select(*key, F.col(text).alias("text"))
+    rows = pick(df, **{k: k for k in key}, text=text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def run(batches):

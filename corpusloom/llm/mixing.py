@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import Scratch, need
+from corpusloom.runtime import Scratch, need, pick
 
 #: Where the vocabularies of public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -122,13 +122,13 @@ def mix(df: DataFrame, key: str, source: str, tokens: str, mixture: DataFrame, t
     left out, and the others keep their proportions. Records of no or another source, and of no token, are not used. Keys must
     be unique. uses never exceeds max_repeats.
     """
-    need(df, key, source, tokens)
     spark = df.sparkSession
     scratch = Scratch(spark, "mixing")
+    mixture = pick(mixture, source="source", target_share="target_share", max_repeats="max_repeats")
     wanted = mixture.where("source is not null and target_share > 0 and max_repeats > 0").limit(SOURCES + 1).collect()
     if len(wanted) > SOURCES or len({r.source for r in wanted}) < len(wanted):
         raise ValueError("too many sources, or one given twice")
-    rows = df.select(F.col(key).alias("k"), F.col(source).alias("source"), F.col(tokens).cast("bigint").alias("n"))
+    rows = pick(df, k=key, source=source, n=tokens).withColumn("n", F.col("n").cast("bigint"))
     # the mixture is at most SOURCES rows, so it may be broadcast
     rows = rows.join(F.broadcast(mixture.where("target_share > 0 and max_repeats > 0").select("source").distinct()), "source", "left_semi")
     rows = scratch.save(rows, "rows")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import codepoints as cp
-from corpusloom.runtime import Scratch, need, sized_join
+from corpusloom.runtime import Scratch, pick, sized_join
 
 #: Single-byte encodings tried, in order of preference for stretches that several of them restore alike.
 ENCODINGS = ("cp1252", "latin-1", "cp1251", "cp1256", "mac_roman", "cp437", "cp850", "cp1250", "cp1253", "cp1254", "cp866", "koi8_r")
@@ -278,9 +278,9 @@ def repairs(df: DataFrame, key: str, source: str, texts: list[str]) -> DataFrame
     cases. A null source shares one set of weights with other null sources. Repeated rows come out repeatedly; other columns
     are not read. Equally likely readings: the first by place, then in the order of ENCODINGS.
     """
-    need(df, key, source, *texts)
     scratch = Scratch(df.sparkSession, "mojibake")
-    parts = [df.select(F.col(key).alias("k"), F.concat(F.lit(f"{f}\x01"), F.coalesce(F.col(source).cast("string"), F.lit(""))).alias("s"), F.lit(f).alias("f"), F.col(f).alias("t")) for f in texts]
+    named = [(f, pick(df, k=key, s=source, t=f)) for f in texts]
+    parts = [p.select("k", F.concat(F.lit(f"{f}\x01"), F.coalesce(F.col("s").cast("string"), F.lit(""))).alias("s"), F.lit(f).alias("f"), "t") for f, p in named]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)

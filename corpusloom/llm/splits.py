@@ -14,7 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import Scratch, need, sized_join
+from corpusloom.operators import graph
+from corpusloom.runtime import Scratch, pick, sized_join
 
 #: Blanks, control characters and format characters that do not count in names.
 BLANKS = r"[\s\p{Z}\p{Cc}\p{Cf}]+"
@@ -31,32 +32,9 @@ def plain(c: str) -> Column:
 
 def tied(df: DataFrame, key: str, group: str, source: str, *further: str) -> DataFrame:
     """(k, g, s, further columns): s is null unless the source names a single work, which has text on both sides of a colon."""
-    need(df, key, group, source, *further)
-    s = plain(source)
-    return df.select(F.col(key).alias("k"), plain(group).alias("g"), F.when(s.rlike("^[^:]+:.+"), s).alias("s"), *further)
-
-
-def contract(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(label, root): the smallest label that each label of the edges (u, v) is linked to; roots themselves are left out."""
-    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges, roots, turn = scratch.save(edges, "edges"), None, 0
-    while not edges.isEmpty():
-        turn += 1
-        hook = scratch.save(edges.groupBy("u").agg(F.min("v").alias("m")), "hook")
-        over = hook.select(F.col("u").alias("m"), F.col("m").alias("far"))
-        hook = scratch.save(sized_join(hook, over, ["m"], "left").select("u", F.coalesce("far", "m").alias("m")), "jump")
-        new = hook.select(F.col("u").alias("label"), F.col("m").alias("root"))
-        if roots is not None:
-            moved = sized_join(roots, hook.withColumnRenamed("u", "root"), ["root"], "left")
-            new = new.unionByName(moved.select("label", F.coalesce("m", "root").alias("root")))
-        # a label two hops away can hook again later; both its entries end at the smallest label of the set
-        roots = scratch.save(new.groupBy("label").agg(F.min("root").alias("root")), "roots")
-        for end in ("u", "v"):
-            there = hook.select(F.col("u").alias(end), "m")
-            edges = sized_join(edges, there, [end], "left").withColumn(end, F.coalesce("m", end)).drop("m")
-        edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        edges = scratch.save(edges, "edges")
-    return roots if roots is not None else edges.select(F.col("u").alias("label"), F.col("v").alias("root"))
+    s = plain("s")
+    rows = pick(df, k=key, g=group, s=source, **{c: c for c in further})
+    return rows.select("k", plain("g").alias("g"), F.when(s.rlike("^[^:]+:.+"), s).alias("s"), *further)
 
 
 def related_sets(classes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -67,7 +45,7 @@ def related_sets(classes: DataFrame, scratch: Scratch) -> DataFrame:
     for c in "gs":
         pairs = sized_join(pairs, by[c], [c], "left")
     pairs = scratch.save(pairs.select("g", "s", "low", "lg", "ls"), "labelled")
-    roots = contract(pairs.where("g is not null and s is not null").select(F.col("lg").alias("u"), F.col("ls").alias("v")), scratch)
+    roots = graph.roots(pairs.where("g is not null and s is not null").select(F.col("lg").alias("u"), F.col("ls").alias("v")), scratch)
     named = pairs.select("g", "s", F.coalesce(F.least("lg", "ls"), "low").alias("label"))
     return scratch.save(sized_join(named, roots, ["label"], "left").select("g", "s", F.coalesce("root", "label").alias("root")), "sets")
 
@@ -85,7 +63,7 @@ def contradictory(df: DataFrame, key: str, group: str, source: str, split: str)
     no rows; repeated entities, extra columns and ties are harmless.
     """
     scratch = Scratch(df.sparkSession, "contradictory")
-    rows = tied(df, key, group, source, split).withColumn("p", plain(split)).where("g is not null or s is not null")
+    rows = tied(pick(df, k=key, g=group, s=source, p=split), "k", "g", "s", "p").withColumn("p", plain("p")).where("g is not null or s is not null")
     classes = scratch.save(rows.groupBy("g", "s", "p").agg(F.min("k").alias("low")), "classes")
     sets = related_sets(classes, scratch)
     e = _pair_key().alias("e")
@@ -107,7 +85,7 @@ def assign_splits(df: DataFrame, key: str, group: str, source: str, label: str,
     total_share = sum(shares.values())
     shares = {k: v / total_share for k, v in shares.items()}
     scratch = Scratch(df.sparkSession, "splits")
-    rows = tied(df, key, group, source, label).withColumn("label", F.coalesce(F.lower(F.trim(label)), F.lit("")))
+    rows = tied(pick(df, k=key, g=group, s=source, label=label), "k", "g", "s", "label").withColumn("label", F.coalesce(F.lower(F.trim("label")), F.lit("")))
     e = _pair_key()
     rows = rows.withColumn("e", F.when(F.col("g").isNull() & F.col("s").isNull(), F.concat(F.lit("\x02"), F.col("k").cast("string"))).otherwise(e))
     classes = scratch.save(rows.groupBy("e", "g", "s", "label").agg(F.min("k").alias("low"), F.count("*").alias("n")), "classes")

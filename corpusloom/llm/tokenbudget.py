@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import need
+from corpusloom.runtime import need, pick
 
 #: Score of each byte of a character without a piece; below any piece's score.
 BYTE = -30.0
@@ -67,8 +67,8 @@ def likeliest(word: str, score: dict[str, float], longest: int) -> int:
 
 def vocabulary(pieces: DataFrame, piece: str = "piece", score: str = "score") -> dict[str, float]:
     """Pieces and scores; of a piece given twice the better score. Refuses vocabularies that workers cannot hold."""
-    need(pieces, piece, score)
-    rows = pieces.where(f"{piece} <> '' and {score} is not null").groupBy(piece).agg(F.max(score).alias("score")).limit(PIECES + 1).collect()
+    pieces = pick(pieces, piece=piece, score=score)
+    rows = pieces.where("piece <> '' and score is not null").groupBy("piece").agg(F.max("score").alias("score")).limit(PIECES + 1).collect()
     if len(rows) > PIECES:
         raise ValueError(f"more than {PIECES} pieces")
     return {r[0]: r[1] for r in rows}
@@ -126,9 +126,9 @@ def record_tokens(records: DataFrame, sources: DataFrame, pieces: DataFrame, key
     source: the collection; bucket: null if it says nothing; domain: that of the collection in sources, null if it has none,
     the least if sources gives several. sources must be small enough to be broadcast, which is checked.
     """
-    need(records, key, "text", "source", "bucket")
+    records = pick(records, **{key: key}, text="text", source="source", bucket="bucket")
     score = vocabulary(pieces)
-    domains = sources.groupBy(collection(F.col("source")).alias("source")).agg(F.min("domain").alias("domain"))
+    domains = pick(sources, source="source", domain="domain").groupBy(collection(F.col("source")).alias("source")).agg(F.min("domain").alias("domain"))
     if domains.limit(100_001).count() <= 100_000:
         domains = F.broadcast(domains)
     bucket = F.lower(F.trim("bucket"))
