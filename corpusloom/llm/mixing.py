@@ -82,7 +82,7 @@ def pivot(keys: list, sizes: np.ndarray, parts: np.ndarray, seed: str) -> tuple[
     parts = parts.astype(float).copy()
     rng = np.random.default_rng(int.from_bytes(hashlib.sha256(seed.encode()).digest()[:8], "big"))
     draws, open_ = rng.random(len(parts)), -1
-    for i in sorted(range(len(keys)), key=keys.__getitem__):
+    for turn, i in enumerate(sorted(range(len(keys)), key=keys.__getitem__)):
         if not EDGE < parts[i] < 1 - EDGE:
             parts[i] = round(parts[i])
             continue
@@ -92,7 +92,7 @@ def pivot(keys: list, sizes: np.ndarray, parts: np.ndarray, seed: str) -> tuple[
         a, b = open_, i
         up = min(sizes[a] * (1 - parts[a]), sizes[b] * parts[b])
         down = min(sizes[a] * parts[a], sizes[b] * (1 - parts[b]))
-        move = up if draws[i] * (up + down) < down else -down
+        move = up if draws[turn] * (up + down) < down else -down
         parts[a] += move / sizes[a]
         parts[b] -= move / sizes[b]
         fractional = [k for k in (a, b) if EDGE < parts[k] < 1 - EDGE]

@@ -31,6 +31,9 @@ LOST = "�"
 ROUNDS = 5
 #: Pseudo-counts of a character not seen in clean text, and of a chain and of no chain in a source.
 UNSEEN, CHAIN, CLEAN = 1e-3, 0.5, 50.0
+#: A restored character that is nowhere outside stretches shares this part of its block of 128; if none of the block is, its
+#: log-level is NOWHERE: accidents decode to scripts that the corpus does not have.
+BLOCK, NOWHERE = 0.05, -60.0
 
 
 @lru_cache
@@ -133,7 +136,7 @@ def clusters(found: list[tuple[int, int, str, str]]) -> list[list[tuple[int, int
     return out
 
 
-def weigh(text: str, cluster: list, level: dict[str, float], unseen: float, chains: dict[str, float]) -> list[float]:
+def weigh(text: str, cluster: list, w: Weights, chains: dict[str, float]) -> list[float]:
     """Posteriors of the readings of a cluster; what they leave is the posterior that nothing is garbled.
 
     A reading stands for the whole cluster with its own stretch restored, so that readings of different places compare: each
@@ -142,7 +145,7 @@ def weigh(text: str, cluster: list, level: dict[str, float], unseen: float, chai
     least = min(chains.values(), default=1e-6)
     logs = [math.log(chains.get("", 0.5))]
     for a, b, chain, made in cluster:
-        gain = sum([level.get(c, unseen) for c in made if c > "\x7f"]) - sum([level.get(c, unseen) for c in text[a:b] if c > "\x7f"])
+        gain = sum([w.restored(c) for c in made if c > "\x7f"]) - sum([w.level.get(c, w.unseen) for c in text[a:b] if c > "\x7f"])
         logs.append(gain + math.log(chains.get(chain, least)))
     top = max(logs)
     weights = [math.exp(x - top) for x in logs]
@@ -159,16 +162,25 @@ def _first_level(column: pa.Array) -> Counter:
 class Weights:
     """What EM learns: the level of each character in clean text, and of each chain in each source and field."""
 
-    def __init__(self, table: dict[str, float], chains: dict[tuple, dict[str, float]]):
-        self.table, self.chains = table, chains
+    def __init__(self, table: dict[str, float], chains: dict[tuple, dict[str, float]], outside: dict[str, float]):
+        self.chains = chains
         total = sum(table.values()) + UNSEEN * max(len(table), 1)
         self.level = {c: math.log((n + UNSEEN) / total) for c, n in table.items()}
         self.unseen = math.log(UNSEEN / total)
+        self.outside = {c for c, n in outside.items() if n > 0.5}
+        blocks: Counter = Counter()
+        for c, n in outside.items():
+            blocks[ord(c) >> 7] += max(n, 0.0)
+        self.blocks = {b: math.log((BLOCK * n / 128 + UNSEEN) / total) for b, n in blocks.items() if n > 0.5}
         pooled: Counter = Counter()
         for of in chains.values():
             pooled.update(of)
         self.pooled = dict(pooled)
 
+    def restored(self, c: str) -> float:
+        """The log-level of a character as a restored one."""
+        return self.level[c] if c in self.outside else self.blocks.get(ord(c) >> 7, NOWHERE)
+
     def of(self, source: str | None) -> dict[str, float]:
         """Chain probabilities of a source: its counts, with the whole corpus's proportions as prior."""
         own = self.chains.get(source, {})
@@ -222,8 +234,22 @@ def learn(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, Weights]:
     # readings are made once for all rounds, spread evenly as there are few rows but much work in each
     stretches = stretches.select("s", "x", "n", "own").repartition(spark.sparkContext.defaultParallelism, "x", "s")
     stretches = scratch.save(stretches.mapInArrow(read, "s string, x string, n double, own boolean, found array<struct<a:int,z:int,chain:string,made:string>>"), "stretches")
+
+    def raw(batches):
+        for b in batches:
+            inside: Counter = Counter()
+            for x, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for c in x:
+                    if c > "\x7f":
+                        inside[c] += n
+            yield pa.RecordBatch.from_arrays([pa.array(inside.keys(), pa.string()), pa.array(inside.values(), pa.float64())], ["c", "n"])
+
+    inside = stretches.select("x", "n").mapInArrow(raw, "c string, n double").groupBy("c").agg(F.sum("n").alias("n")).collect()  # characters
+    outside = dict(table)
+    for r in inside:
+        outside[r.c] = outside.get(r.c, 0.0) - r.n
     # the first guess: characters as counted, chains rare
-    weights = Weights(table, {})
+    weights = Weights(table, {}, outside)
     for _ in range(ROUNDS):
 
         def expect(batches, w=weights):
@@ -234,11 +260,8 @@ def learn(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, Weights]:
                 for s, x, n, own, found in zip(d["s"], d["x"], d["n"], d["own"], d["found"]):
                     name = s if own else ""
                     of = prior.get(name) or prior.setdefault(name, w.of(s if own else None))
-                    for c in x:
-                        if c > "\x7f":
-                            moved[None, "raw", c] += n
                     for cluster in clusters([tuple(r.values()) for r in found]):
-                        p = weigh(x, cluster, w.level, w.unseen, of)
+                        p = weigh(x, cluster, w, of)
                         moved[name, "", ""] += n * (1 - sum(p))
                         for q, (a, z, chain, made) in zip(p, cluster):
                             if q > 1e-6:
@@ -253,20 +276,19 @@ def learn(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, Weights]:
 
         sums = stretches.mapInArrow(expect, "s string, k string, c string, n double").groupBy("s", "k", "c").agg(F.sum("n").alias("n")).collect()
         chains: dict = {}
-        now = dict(table)
-        raw = {r.c: r.n for r in sums if r.k == "raw"}
-        for r in sums:  # bounded by SOURCES times chains, and by the characters there are
+        clean = dict(table)
+        for r in sums:  # bounded by the characters there are
             if r.s is None and r.k == "":
-                now[r.c] = max(now.get(r.c, 0.0) + r.n, 0.0)
-            elif r.s is None and r.k == "made":
+                clean[r.c] = max(clean.get(r.c, 0.0) + r.n, 0.0)
+        now = dict(clean)
+        for r in sums:  # bounded by SOURCES times chains, and by the characters there are
+            if r.s is None and r.k == "made":
                 # what only ever comes from decoding supports no further decoding
-                outside = max(table.get(r.c, 0.0) - raw.get(r.c, 0.0), 0.0)
-                now[r.c] = now.get(r.c, 0.0) + r.n * outside / (outside + 1)
-            elif r.s is None:
-                continue
-            else:
+                have = clean.get(r.c, 0.0)
+                now[r.c] = have + r.n * have / (have + 1)
+            elif r.s is not None:
                 chains.setdefault(r.s, {})[r.k] = max(r.n, 0.0)
-        weights = Weights(now, chains)
+        weights = Weights(now, chains, clean)
     return stretches, weights
 
 
@@ -298,7 +320,7 @@ def repairs(df: DataFrame, key: str, source: str, texts: list[str]) -> DataFrame
                 chains = of.get(s) or of.setdefault(s, w.of(s if s in w.chains else None))
                 out, at, used, n = [], 0, [], 0
                 for first, x, cluster in ((m.start(), m[0], c) for m in runs().finditer(t) for c in clusters(known(m[0]))):
-                    p = weigh(x, cluster, w.level, w.unseen, chains)
+                    p = weigh(x, cluster, w, chains)
                     if sum(p) <= 0.5:
                         continue
                     # the likeliest readings that do not overlap
