@@ -284,7 +284,7 @@ def training_words(texts: list[tuple[str, str]], languages: tuple[str, ...]) ->
     number = np.array([count[w] for w in words]).reshape(len(words), len(languages))
     mass = number.sum(axis=0)
     # each language has the same mass, so that one with few texts is not read as its likest neighbour
-    even = (number + 0.02) / (mass + 1)
+    even = number / np.maximum(mass, 1) + 0.02 / max(mass.max(), 1)
     return words, (even / even.sum(axis=1, keepdims=True)).astype(np.float32), (even.sum(axis=1) ** POWER).astype(np.float32)
 
 
@@ -314,7 +314,10 @@ def train(texts: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES,
 
 
 def fit(labelled: DataFrame, text: str, language: str, languages: tuple[str, ...] = LANGUAGES, seed: int = 17) -> Network:
-    """Train on SAMPLE labelled rows of each language, those of least hash; rows of null text or other labels are not read."""
+    """Train on SAMPLE labelled rows of each language, those of least hash; rows of null text or other labels are not read.
+
+    A language without any labelled row is hardly ever given; without rows at all the network stays as it was drawn.
+    """
     rows = pick(labelled, t=text, l=language).select("t", F.lower(F.trim("l")).alias("l")).where("t is not null")
     texts: list[tuple[str, str]] = []
     for x in languages:

@@ -20,7 +20,7 @@ from corpusloom.llm import codepoints as cp
 from corpusloom.runtime import Scratch, pick, sized_join
 
 # fixed values: letters that look like a Latin one, each followed by it
-CYRILLIC = "аaеeоoрpсcуyхxіiјjѕsһhԁdԛqԝwүyѵvӏlАAВBЕEКKМMНHОOРPСCТTУYХXІIЈJЅSԌGԚQԜWҮYѴVӀIҺh"
+CYRILLIC = "аaеeоoрpсcуyхxіiјjѕsһhԁdԛqԝwүyѵvӏlАAВBЕEКKМMНHОOРPСCТTУYХXІIЈJЅSԌGԚQԜWҮYѴVӀIҺHԀD"
 GREEK = "οoαaνvρpιiυuκkγyσoΑAΒBΕEΖZΗHΙIΚKΜMΝNΟOΡPΤTΥYΧXϲcϳjϹC"
 OTHER = "ɑaɡgıiոnօoսuցgհhԼLՕOՍUքfꓮAꓐBꓚCꓓDꓰEꓝFꓖGꓧHꓲIꓙJꓗKꓡLꓟMꓠNꓳOꓑPꓣRꓢSꓔTꓴUꓦVꓪWꓫXꓬYꓜZ"
 #: A Bengali vowel also written with two signs that show the same, though they are not canonically equivalent.
