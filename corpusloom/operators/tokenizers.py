@@ -243,6 +243,22 @@ def word_frequency(df: DataFrame, text: str, most_bytes: int = 1024) -> DataFram
     return words.where(F.octet_length("word") <= most_bytes).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def frequent_words(df: DataFrame, text: str, model: K.Model, n: int) -> list[str]:
+    """The n commonest words that are no pieces, for a model's cache; equally common ones by text. n is the feature."""
+    pieces = df.sparkSession.createDataFrame([(t,) for t, _ in model.pieces] or [("",)], "word string")
+    counted = word_frequency(df, text).join(F.broadcast(pieces), "word", "left_anti")  # the driver holds the pieces already
+    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(n).collect()]
+
+
+def quality(df: DataFrame, text: str, model: K.Model, most: int = 510) -> DataFrame:
+    """One row: texts, their part that comes back from its ids, unknown ids, the part above `most` ids, nearest-rank p95."""
+    encode, decode = K.encoder(model), K.decoder(model)
+    rows = df.where(F.col(text).isNotNull()).select(T.normalize(text).alias("t")).withColumn("ids", encode("t"))
+    rows = rows.select((decode("ids") == F.col("t")).cast("double").alias("same"), F.size("ids").alias("n"), F.size(F.filter("ids", lambda i: i == K.UNK)).alias("unknown"))
+    over = (F.col("n") > most).cast("double")
+    return rows.agg(F.count("*").alias("texts"), F.avg("same").alias("round_trip"), F.sum("unknown").alias("unknown"), F.avg(over).alias("over"), nearest_rank("n", 0.95).alias("p95"))
+
+
 def after_space(df: DataFrame, ids: str) -> DataFrame:
     """(id, n): how often each id follows a blank."""
     pairs = F.arrays_zip(F.slice(ids, 1, F.greatest(F.size(ids) - 1, F.lit(0))).alias("a"), F.slice(ids, 2, F.greatest(F.size(ids), F.lit(1))).alias("b"))

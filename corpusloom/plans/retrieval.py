@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import ranking as R
 from corpusloom.operators import retrieval as V
+from corpusloom.operators import review as W
 from corpusloom.operators import statistics as S
 
 from corpusloom.plans.catalog import query
@@ -313,3 +314,44 @@ def ret_workload(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct texts with their words repeated up to 128."""
     texts = table(spark, sf, "queries").select("id", T.normalize("text").alias("text")).groupBy("text").agg(F.min("id").alias("id"))
     return texts.select("id", F.array_join(F.slice(F.flatten(F.array_repeat(F.split("text", " "), 128)), 1, 128), " ").alias("text"))
+
+
+@query("rev_packet", """with p as (select distinct query_id, document_id from judgments), r as (select p.*, q.group_id, q.text as query, d.text as document from p join queries q on q.id = query_id join documents d on d.id = document_id),
+  c as (select group_id from (select distinct group_id from r where group_id is not null) order by sha256('17:' || group_id), group_id limit 30)
+  select query_id, document_id, r.group_id, query, document, c.group_id is not null as calibration from r left join c using (group_id)""")
+def rev_packet(spark: SparkSession, sf: str) -> DataFrame:
+    out = W.packet(table(spark, sf, "judgments"), table(spark, sf, "queries"), table(spark, sf, "documents"))
+    return out.drop("grade", "rationale", "reviewer_id", "reviewer_origin")
+
+
+@query("rev_label_problems", f"""with e as (select distinct query_id, document_id from disagreements), j as (select * from judgments)
+  select query_id, document_id, 'twice' as problem from j group by all having count(*) > 1
+  union all select distinct query_id, document_id, 'unknown' from j where (query_id, document_id) not in (select (query_id, document_id) from e)
+  union all select distinct query_id, document_id, 'invalid' from j where not coalesce({VALID}, false)
+  union all select query_id, document_id, 'missing' from e where (query_id, document_id) not in (select (query_id, document_id) from j)""")
+def rev_label_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """The first grades as labels of the audited pairs."""
+    return W.label_problems(table(spark, sf, "disagreements"), table(spark, sf, "judgments"))
+
+
+@query("rev_expansion_problems", f"""with k as (select distinct {key_sql(NORMAL)} as k from heldout), r as (select rid, source, group_id, split, {key_sql(NORMAL)} as k from records)
+  select 'reserved surface in train' as problem, rid::varchar as what from r where split = 'train' and k <> '' and k in (select k from k)
+  union all select 'reserve row', rid::varchar from r where source = 'duplicate'
+  union all select 'group in several splits', group_id from r where group_id is not null group by group_id having min(split) <> max(split)""")
+def rev_expansion_problems(spark: SparkSession, sf: str) -> DataFrame:
+    return W.expansion_problems(table(spark, sf, "records"), table(spark, sf, "heldout"), "duplicate")
+
+
+@query("rev_pilot")
+def rev_pilot(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = intent_pairs(spark, sf).drop("source")
+    pool = table(spark, sf, "records").where("bucket = 'bangla'").select(F.col("rid").cast("string").alias("id"), "group_id", "text")
+    return W.pilot(pairs, pool, 5, 60)[1]
+
+
+@query("rev_encode_once")
+def rev_encode_once(spark: SparkSession, sf: str) -> DataFrame:
+    from corpusloom.functions import tokenizer as K
+
+    encode = K.encoder(K.from_pieces(table(spark, sf, "pieces")))
+    return W.encode_once(table(spark, sf, "queries").select("id", "text"), "text", encode, "ids")

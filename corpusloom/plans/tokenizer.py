@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions import tokenizer as K
+from corpusloom.operators import review as R
 from corpusloom.operators import tokenizers as O
 from corpusloom.plans.catalog import query
 from corpusloom.plans.corpus import NORMAL
@@ -101,3 +102,17 @@ def tok_hash(spark: SparkSession, sf: str) -> DataFrame:
 def tok_length_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "records").where("text is not null").select(F.coalesce("bucket", F.lit("")).alias("bucket"), F.size(T.words(T.normalize("text"))).alias("n"))
     return O.floor_percentile(rows.groupBy("bucket", "n").agg(F.count("*").alias("c")), ["bucket"], "n", "c", {"p50": 50, "p95": 95, "p99": 99})
+
+
+@query("tok_quality")
+def tok_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return O.quality(table(spark, sf, "records"), "text", K.from_pieces(table(spark, sf, "pieces")))
+
+
+@query("tok_transfer")
+def tok_transfer(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of pieces from those of their ids in a second model, here the bytes' and characters' of the embeddings table."""
+    pieces, e = table(spark, sf, "pieces"), table(spark, sf, "embeddings")
+    small = K.Model("unigram", [(r.piece, r.score) for r in pieces.where("length(piece) = 1").orderBy("piece_id").collect()])
+    ids = pieces.select("piece_id", K.encoder(small)("piece").alias("ids"))
+    return R.transferred(ids, "ids", e.withColumnRenamed("vec_id", "id"), "id", "embedding", K.UNK)
