@@ -14,11 +14,7 @@ from pyspark.sql.types import LongType, StringType
 
 # fixed values: blanks of Unicode, and patterns for text that is not to be kept
 BLANK = r"[\t\n\x0B\f\r\x{85}\p{Z}]+"
-PRIVATE = (
-    r"(?i)([a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}"
-    r"|(?:\+?880|\b0)1[3-9][0-9]{8}\b"
-    r"|(?:api[_-]?key|password|secret)\s*[:=]\s*\S+)"
-)
+PRIVATE = r"(?i)([a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}|(?:\+?880|\b0)1[3-9][0-9]{8}\b|(?:api[_-]?key|password|secret)\s*[:=]\s*\S+)"
 SPLIT_SALT = "bn-corpus-v1:"
 NOT_KEY = r"[^\p{L}\p{M}\p{N}]"
 

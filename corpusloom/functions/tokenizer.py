@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 PAD, UNK, BOS, EOS, BYTES, PIECES = 0, 1, 2, 3, 4, 260
 SPACE = BYTES + 32
 FALLBACK = -30.0
-NORMALIZATION = "nfc-unicode-whitespace-v1"
+NORMALIZATION = "nfc-whitespace-v1"
 #: Words a worker remembers.
 MEMO = 200_000
 
@@ -87,12 +87,19 @@ class Model:
         return PIECES + len(self.pieces) + len(self.space_fusion)
 
     def save(self, path: str) -> None:
-        Path(path).write_text(json.dumps({k: getattr(self, k) for k in ("version", "algorithm", "normalization", "pieces", "merges", "cache_words", "space_fusion")}, ensure_ascii=False), "utf-8")
+        """One JSON object; pieces and merges are objects with named members, empty lists are left out."""
+        made = {"version": self.version, "algorithm": self.algorithm, "normalization": self.normalization}
+        made["pieces"] = [{"text": t, "score": s} for t, s in self.pieces]
+        made["merges"] = [dict(zip(("left", "right", "result"), m)) for m in self.merges]
+        made |= {"cache_words": self.cache_words, "space_fusion": self.space_fusion}
+        Path(path).write_text(json.dumps({k: v for k, v in made.items() if v != []}, ensure_ascii=False), "utf-8")
 
     @classmethod
     def load(cls, path: str) -> Model:
         m = json.loads(Path(path).read_text("utf-8"))
-        return cls(m["algorithm"], [tuple(p) for p in m["pieces"]], m["merges"], m["space_fusion"], m["cache_words"], m["version"], m["normalization"])
+        pieces = [(p["text"], p.get("score", 0.0)) for p in m["pieces"]]
+        merges = [tuple(x.get(k, 0) for k in ("left", "right", "result")) for x in m.get("merges") or ()]
+        return cls(m["algorithm"], pieces, merges, m.get("space_fusion") or (), m.get("cache_words") or (), m["version"], m["normalization"])
 
     def word(self, word: str) -> list[int]:
         ids = self.memo.get(word)

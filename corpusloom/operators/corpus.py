@@ -27,8 +27,8 @@ def check_records(df: DataFrame) -> None:
     )
     for r in bad.orderBy("rid").limit(1).collect():
         if not (r.group_id and r.source and r.bucket):
-            raise ValueError(f"record {r.rid} requires group, source and bucket")
-        raise ValueError(f"invalid split {r.split!r}")
+            raise ValueError(f"record {r.rid} lacks a group, source or bucket")
+        raise ValueError(f"record {r.rid} has the unknown split {r.split!r}")
 
 
 def normalized(df: DataFrame) -> DataFrame:
@@ -187,9 +187,9 @@ def word_counts(df: DataFrame, mixture: dict[str, float] | None = None) -> DataF
     if mixture is not None:
         for b in sorted(mixture):
             if not 0 < mixture[b] < float("inf"):
-                raise ValueError("nonpositive mixture weight")
+                raise ValueError(f"the weight of bucket {b} must be positive and finite")
             if b not in found:
-                raise ValueError(f"missing required bucket {b}")
+                raise ValueError(f"no text in bucket {b}")
         spark = df.sparkSession
         weights = spark.createDataFrame([(b, w * 1e6 / found[b]) for b, w in sorted(mixture.items())], "bucket string, scale double")
     else:

@@ -77,7 +77,7 @@ def import_review(expected: DataFrame, labels: DataFrame, decisions: DataFrame,
     qrels = labels.join(kept.select(F.col("id").alias("query_id")), "query_id", "left_semi").join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi")
     qrels = qrels.select(*PAIR, "grade", F.concat("reviewer_origin", F.lit("_reviewed")).alias("label_origin"), "reviewer_id", "rationale")
     if not kept.select(F.col("id").alias("query_id")).join(qrels.where("grade > 0"), "query_id", "left_anti").isEmpty():
-        raise ValueError("every retained query needs a reviewed positive")
+        raise ValueError("a query is left without positive label")
     return kept, docs, qrels
 
 
@@ -97,11 +97,11 @@ def accepted_negatives(mined: DataFrame, reviews: DataFrame, least: int = 16, la
     good = F.coalesce(F.col("m_").isNotNull() & F.col("r_").isNotNull() & (F.col("n_") == F.col("negative_group")) & F.col("pair_correct").isNotNull() & F.col("negative_grade").isin(0, 1, 2), F.lit(False))
     found = both.agg(F.count_if(~good).alias("bad"), F.count("*").alias("n"), F.countDistinct("group_id").alias("groups")).first()
     if found.bad or found.n != found.groups:
-        raise ValueError("every mined pair must be reviewed once and unchanged")
+        raise ValueError("reviews must cover the mined pairs, each once and unchanged")
     out = both.where("pair_correct and negative_grade = 0").drop("m_", "r_", "n_")
     counts = {r.query_language: r["count"] for r in out.groupBy("query_language").count().collect()}
     if any(counts.get(x, 0) < least for x in languages):
-        raise ValueError(f"at least {least} verified negatives per language are required")
+        raise ValueError(f"a language has fewer than {least} accepted negatives")
     return out
 
 
@@ -129,7 +129,7 @@ def pilot(pairs: DataFrame, pool: DataFrame, count: int, documents: int, seed: i
     scratch = Scratch(pairs.sparkSession, "pilot")
     chosen = scratch.save(V.select_pairs(pairs.withColumn("source", F.lit("pilot")), {"pilot": count}, seed), "chosen")
     if (n := chosen.count()) != count:
-        raise ValueError(f"only {n} eligible distinct groups")
+        raise ValueError(f"{n} disjoint pairs, not {count}")
     mine = chosen.select("id", "group_id", F.col("document").alias("text"), T.key(T.normalize("document")).alias("k"))
     others = pool.select("id", "group_id", "text", T.key(T.normalize("text")).alias("k")).where("k <> ''").join(mine.select("k"), "k", "left_anti")
     others = others.withColumn("o_", F.struct(R.shuffle_key("id", seed), "id"))
@@ -137,7 +137,7 @@ def pilot(pairs: DataFrame, pool: DataFrame, count: int, documents: int, seed: i
     more = others.orderBy("o_").limit(documents - count).select("x.*")
     docs = scratch.save(mine.drop("k").unionByName(more), "documents")
     if (n := docs.count()) != documents:
-        raise ValueError(f"only {n} distinct candidate documents")
+        raise ValueError(f"{n} documents, not {documents}")
     return chosen, docs
 
 

@@ -82,7 +82,7 @@ def differences(reference: DataFrame, candidate: DataFrame, strict: bool = True)
         good = F.coalesce(F.col("l_").isNotNull() & F.col("r_").isNotNull() & (F.col("g_") == F.col("group_id")) & finite, F.lit(False))
         found = both.agg(F.count_if(~good).alias("bad"), F.count("*").alias("n"), F.countDistinct("query_id").alias("ids")).first()
         if found.bad or found.n != found.ids:
-            raise ValueError("paired comparison requires identical unique queries, equal groups and finite metrics")
+            raise ValueError("both sides need the same queries once, in the same groups, with finite metrics")
     both = both.where("l_ is not null and r_ is not null")
     return both.select("query_id", "group_id", "bucket", "domain", *[(F.col(m) - F.col(f"{m}_")).alias(m) for m in METRICS])
 
@@ -111,7 +111,7 @@ def crossed(reference: DataFrame, candidate: DataFrame, repeats: int = 2000, see
     """
     runs = sorted(r[0] for r in reference.select("run").distinct().collect())
     if not runs or runs != sorted(r[0] for r in candidate.select("run").distinct().collect()) or repeats < 40:
-        raise ValueError("matching runs and at least 40 repeats required")
+        raise ValueError("both sides need the same runs, and 40 repeats at least")
     layers, groups = [], None
     for r in runs:
         names, means = _means(differences(reference.where(F.col("run") == r), candidate.where(F.col("run") == r)))

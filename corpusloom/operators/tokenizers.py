@@ -25,9 +25,9 @@ def training_input(counts: DataFrame) -> DataFrame:
     wrong = wrong | ~(F.col("weight") > 0) | F.col("weight").isNull() | (F.col("weight") == float("inf"))
     found = counts.agg(F.count("*").alias("n"), F.count_if(wrong).alias("wrong")).first()
     if found.wrong:
-        raise ValueError("invalid training word")
+        raise ValueError("words must be non-empty, in normal form and without blanks, weights positive and finite")
     if not found.n:
-        raise ValueError("empty training corpus")
+        raise ValueError("there are no words")
     return counts.select("word", F.col("weight").cast("double").alias("weight"))
 
 
@@ -92,16 +92,16 @@ def train_unigram(counts: DataFrame, vocab: int, seed_size: int, longest: int, i
     Orders are: characters first, then weight, then text.
     """
     if vocab <= K.PIECES or seed_size < vocab or longest < 1 or iterations < 1:
-        raise ValueError("invalid training configuration")
+        raise ValueError("vocabulary, seeds, length and iterations do not fit together")
     scratch = Scratch(counts.sparkSession, "unigram")
     words = scratch.save(training_input(counts).repartition(counts.sparkSession.sparkContext.defaultParallelism, "word"), "words")
     seeds = scratch.save(seed_counts(words, longest), "seeds")
     chars = {r.c for r in words.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct().collect()}
     target, found = vocab - K.PIECES, seeds.count()
     if found < target:
-        raise ValueError(f"only {found} candidate pieces: insufficient corpus for vocabulary {vocab}")
+        raise ValueError(f"the words have {found} substrings, too few for a vocabulary of {vocab}")
     if len(chars) > target:
-        raise ValueError(f"vocabulary too small for {len(chars)} characters")
+        raise ValueError(f"{len(chars)} characters do not fit in the vocabulary")
     single = F.length("piece") == 1
     first = seeds.orderBy(F.desc(single), F.desc("weight"), "piece").limit(seed_size - K.PIECES).collect()
     pieces = sorted((r.piece, r.weight) for r in first)
@@ -128,13 +128,13 @@ def train_bpe(counts: DataFrame, vocab: int, longest: int) -> K.Model:
     it occurs in. Raises if no pair is left before the vocabulary is full.
     """
     if vocab <= K.PIECES or longest < 1:
-        raise ValueError("invalid BPE configuration")
+        raise ValueError("vocabulary and length do not fit together")
     rows = training_input(counts).groupBy("word").agg(F.sum("weight").alias("weight")).orderBy("word").limit(WORDS + 1).collect()
     if len(rows) > WORDS:
         raise ValueError(f"more than {WORDS} distinct words")
     texts = sorted({c for r in rows for c in r.word})
     if len(texts) + K.PIECES > vocab:
-        raise ValueError("vocabulary too small")
+        raise ValueError(f"{len(texts)} characters do not fit in the vocabulary")
     place = {t: k for k, t in enumerate(texts)}
     words = [[place[c] for c in r.word] for r in rows]
     weight = [r.weight for r in rows]
@@ -155,7 +155,7 @@ def train_bpe(counts: DataFrame, vocab: int, longest: int) -> K.Model:
     merges, closed = [], set()
     while len(texts) + K.PIECES < vocab:
         if not queue:
-            raise ValueError(f"insufficient merge candidates for vocabulary {vocab}")
+            raise ValueError(f"no pair is left to merge at {len(texts) + K.PIECES} of {vocab}")
         x, a, b = heapq.heappop(queue)
         # an entry is current if its weight is; outdated ones were pushed again when they changed
         if (a, b) in closed or totals[a, b] != -x or -x <= 1e-12:
@@ -212,7 +212,7 @@ def metrics(df: DataFrame, bucket: str, text: str, model: K.Model, most: int = 5
     scratch = Scratch(df.sparkSession, "metrics")
     ids = scratch.save(rows.withColumn("ids", encode("t")).withColumn("same", decode("ids") == F.col("t")), "ids")
     if not ids.where("not same").isEmpty():
-        raise ValueError("round-trip failure")
+        raise ValueError("a text does not come back from its ids")
     ids = ids.withColumn("base", K.expanded("ids", model))
     blank = F.size(F.filter("base", lambda i: i == K.SPACE))
     fallback = F.size(F.filter("base", lambda i: (i >= K.BYTES) & (i < K.PIECES) & (i != K.SPACE)))

@@ -95,9 +95,9 @@ def test_pilot(spark):
     pool = spark.createDataFrame([(f"p{i}", "z", f"D {i}!") for i in range(20)], "id string, group_id string, text string")
     chosen, docs = W.pilot(pairs, pool, 4, 10)
     assert chosen.select("group_id").distinct().count() == 4 and docs.count() == 10
-    with pytest.raises(ValueError, match="eligible"):
+    with pytest.raises(ValueError, match="disjoint"):
         W.pilot(pairs, pool, 7, 10)
-    with pytest.raises(ValueError, match="candidate"):
+    with pytest.raises(ValueError, match="documents"):
         W.pilot(pairs, pool, 4, 30)
 
 
