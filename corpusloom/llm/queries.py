@@ -95,6 +95,11 @@ def p6_budget(spark: SparkSession, sf: str) -> DataFrame:
     return tokenbudget.budget(counted(spark, sf))
 
 
+def p6_public_budget(spark: SparkSession, sf: str, tokenizer: str = f"{mixing.TOKENIZERS}/byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    """The same totals under a public tokenizer with merges, by the merge queue."""
+    return tokenbudget.budget(tokenbudget.record_tokens(table(spark, sf, "records"), table(spark, sf, "sources"), tokenizer))
+
+
 def p6_record_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return counted(spark, sf)
 
@@ -132,5 +137,55 @@ def queries() -> dict[str, Query]:
     return {k: f for k, f in sorted(globals().items()) if k[0] == "p" and k[1:2].isdigit()}
 
 
+NAME = r"nullif(lower(regexp_replace({}, '[\s\p{{Z}}\p{{Cc}}\p{{Cf}}]+', '', 'g')), '')"
+SIGNS = r"lower(regexp_replace(nfc_normalize({}), '[^\p{{L}}\p{{M}}\p{{Nd}}]', '', 'g'))"
+FIELD = r'(?i)(?:^[\s\x{FEFF}\x{200B}]*|[{,;|\n])\s*"?(bn|bl|en|title|body|note)"?\s*[:=]'
+
+
+def words_sql(source: str, key: str) -> str:
+    word = SIGNS.format("x")
+    return rf"""select {key}, list_filter(list_transform(string_split_regex(text, '[\s\p{{Z}}]+'), lambda x: {word}), lambda x: regexp_matches(x, '[\p{{L}}\p{{Nd}}]')) as w from {source} where text is not null"""
+
+
+def tens_sql(source: str, key: str) -> str:
+    return f"select {key}, array_to_string(w[i:i+9], ' ') as run from (select {key}, w, unnest(range(1, greatest(len(w) - 8, 1))) as i from ({words_sql(source, key)}))"
+
+
+def look_sql(x: str) -> str:
+    """The look of a text for characters of the test tables: Latin, Bengali and Devanagari, and look-alikes without marks."""
+    hasanta, joiners = r"\x{09CD}\x{094D}", ((0x200C, 0xE000), (0x200D, 0xE001))
+    out = rf"regexp_replace({x}, '[\x{{AD}}\x{{200B}}\x{{200E}}\x{{200F}}\x{{2060}}\x{{FEFF}}]', '', 'g')"
+    for joiner, stand_in in joiners:  # those beside a hasanta are kept aside
+        out = rf"regexp_replace({out}, '([{hasanta}])\x{{{joiner:x}}}', '\1{chr(stand_in)}', 'g')"
+        out = rf"regexp_replace({out}, '\x{{{joiner:x}}}([{hasanta}])', '{chr(stand_in)}\1', 'g')"
+    out = rf"regexp_replace({out}, '[\x{{200C}}\x{{200D}}]', '', 'g')"
+    alike = lookalike.CYRILLIC + lookalike.GREEK
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
+    blanks = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+    old = alike[::2] + wide + blanks + "".join(chr(b) for _, b in joiners)
+    new = alike[1::2] + "".join(chr(ord(c) - 0xFEE0) for c in wide) + " " * len(blanks) + "".join(chr(a) for a, _ in joiners)
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    return f"nfc_normalize(translate({out}, {quote(old)}, {quote(new)}))"
+
+
+SQL = {
+    "p5_found": rf"""with t as (select 'records.text' as field_name, rid::varchar as key, text from records union all select 'business.bn', id, bn from business union all select 'business.bl', id, bl from business),
+      l as (select field_name, key, text, {look_sql('text')} as look from t where text is not null)
+      select a.field_name, a.key as key_a, b.key as key_b from l a join l b using (field_name, look) where a.key < b.key and a.text <> b.text and regexp_matches(look, '\p{{L}}')""",
+    "p3_found": f"""with recursive n as (select rid, {NAME.format('group_id')} as g, {NAME.format('source')} as z, {NAME.format('split')} as p from records),
+      r as (select rid, g, p, case when regexp_matches(z, '^[^:]+:.+') then z end as s from n),
+      e as (select rid as u, min(rid) over (partition by g) as v from r where g is not null union all select rid, min(rid) over (partition by s) from r where s is not null),
+      e2 as (select distinct u, v from (select u, v from e union all select v, u from e) where u <> v),
+      cc(rid, root) using key (rid) as (select rid, rid from r
+        union select e2.u, min(cc.root) from cc join e2 on e2.v = cc.rid join recurring.cc as old on old.rid = e2.u where cc.root < old.root group by e2.u)
+      select rid from cc where root in (select root from cc join r using (rid) group by root having min(p) <> max(p))""",
+    "p4_found": rf"""with k as (select rid, text, regexp_matches(text, '^[\s\x{{FEFF}}\x{{200B}}]*\{{?\s*"?(?i:bn|bl|en|title|body|note)"?\s*[:=]') as f from records where text is not null),
+      c as (select rid, case when f then 'F' || array_to_string(list_sort(list_transform(list_zip(regexp_extract_all(text, '{FIELD}', 1), string_split_regex(text, '{FIELD}')[2:]),
+        lambda x: lower(x[1]) || chr(3) || {SIGNS.format('x[2]')})), chr(1)) else {SIGNS.format('text')} end as key from k)
+      select a.rid as rid_a, c.rid as rid_b from (select key, min(rid) as rid from c where key <> '' group by key) a join c using (key) where a.rid <> c.rid""",
+    "p7_found": f"select distinct item_id, doc_id from ({tens_sql('heldout', 'item_id')}) a join ({tens_sql('documents', 'doc_id')}) b using (run)",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -7,6 +7,7 @@ segmentation is the likeliest path, which greedy merging does not find in genera
 
 from __future__ import annotations
 
+import base64
 import unicodedata
 from heapq import heapify, heappop, heappush
 
@@ -24,29 +25,44 @@ PIECES = 2_000_000
 WORDS = 500_000
 
 
-def surviving(word: str, score: dict[str, float]) -> int:
-    """Symbols that survive merging the word's characters, the best-scored neighbours first, the leftmost of equal ones.
+def merge(symbols: list, priority: dict) -> list:
+    """The symbols that survive merging neighbours, those of least priority value first, the leftmost of equal ones.
 
-    A pair can merge if it is a piece; surviving characters without a piece count one token for each of their UTF-8 bytes.
+    A pair can merge if together it is in priority. Symbols are linked to their neighbours; a queue holds the pairs that could
+    merge, and entries whose symbols have changed meanwhile are passed over.
     """
-    symbols, n = list(word), len(word)
+    symbols, n = list(symbols), len(symbols)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    queue = [(-score[p], i, p) for i in range(n - 1) if (p := symbols[i] + symbols[i + 1]) in score]
+    queue = [(priority[p], i, p) for i in range(n - 1) if (p := symbols[i] + symbols[i + 1]) in priority]
     heapify(queue)
     while queue:
         _, i, piece = heappop(queue)
         j = after[i] if symbols[i] else n
         if j >= n or symbols[i] + symbols[j] != piece:
-            continue  # one of the two was merged meanwhile
-        symbols[i], symbols[j] = piece, ""
+            continue
+        symbols[i], symbols[j] = piece, piece[:0]
         after[i] = after[j]
         if after[i] < n:
             before[after[i]] = i
-            if (p := piece + symbols[after[i]]) in score:
-                heappush(queue, (-score[p], i, p))
-        if before[i] >= 0 and (p := symbols[before[i]] + piece) in score:
-            heappush(queue, (-score[p], before[i], p))
-    return sum(1 if s in score else len(s.encode("utf-8", "surrogatepass")) for s in symbols if s)
+            if (p := piece + symbols[after[i]]) in priority:
+                heappush(queue, (priority[p], i, p))
+        if before[i] >= 0 and (p := symbols[before[i]] + piece) in priority:
+            heappush(queue, (priority[p], before[i], p))
+    return [s for s in symbols if s]
+
+
+def surviving(word: str, score: dict[str, float]) -> int:
+    """Tokens of a word by merging its characters, best-scored pieces first; characters without a piece cost their bytes."""
+    left = merge(word, {p: -s for p, s in score.items()} if not isinstance(score, Scores) else score.priority)
+    return sum(1 if s in score else len(s.encode("utf-8", "surrogatepass")) for s in left)
+
+
+class Scores(dict):
+    """Scores with the priorities of merging beside them."""
+
+    def __init__(self, score: dict[str, float]):
+        super().__init__(score)
+        self.priority = {p: -s for p, s in score.items()}
 
 
 def likeliest(word: str, score: dict[str, float], longest: int) -> int:
@@ -84,7 +100,7 @@ def count_tokens(df: DataFrame, text: str, score: dict[str, float], method: str
     if method not in ("unigram", "merges"):
         raise ValueError(method)
     need(df, text)
-    longest = max(map(len, score), default=1)
+    longest, score = max(map(len, score), default=1), Scores(score) if method == "merges" else score
     df = df.drop(out)
     names = df.columns
     one = (lambda w: likeliest(w, score, longest)) if method == "unigram" else (lambda w: surviving(w, score))
@@ -110,6 +126,42 @@ def count_tokens(df: DataFrame, text: str, score: dict[str, float], method: str
     return df.mapInArrow(run, f"{schema}, {out} bigint")
 
 
+def count_public(df: DataFrame, text: str, path: str, out: str = "n_tokens") -> DataFrame:
+    """df with the tokens of text under a public byte-level BPE (a .tiktoken file of ranks), by the merge queue over its bytes.
+
+    Text is parted by the tokenizer's pattern; each distinct part is merged once per worker. Null text has 0 tokens.
+    """
+    need(df, text)
+    df = df.drop(out)
+    names, state = df.columns, {}
+
+    def run(batches):
+        import regex
+
+        if not state:
+            state["ranks"] = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+            # fixed value: the pattern by which byte-level BPE of this kind parts text
+            state["parts"] = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        ranks, parts, known = state["ranks"], state["parts"], {}
+        for b in batches:
+            made = []
+            for t in b.column(names.index(text)).to_pylist():
+                n = 0
+                for x in parts.findall(t or ""):
+                    c = known.get(x)
+                    if c is None:
+                        if len(known) >= WORDS:
+                            known.clear()
+                        raw = x.encode("utf-8", "surrogatepass")
+                        c = known[x] = 1 if raw in ranks else len(merge([raw[i : i + 1] for i in range(len(raw))], ranks))
+                    n += c
+                made.append(n)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.int64())], [*names, out])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(run, f"{schema}, {out} bigint")
+
+
 #: Buckets that say nothing.
 PLACEHOLDERS = ("", "?", "unknown", "und", "n/a", "na", "none", "null", "-")
 
@@ -120,20 +172,21 @@ def collection(source: Column) -> Column:
     return F.nullif(F.regexp_extract(plain, "^[^:]*", 0), F.lit(""))
 
 
-def record_tokens(records: DataFrame, sources: DataFrame, pieces: DataFrame, key: str = "rid", method: str = "unigram") -> DataFrame:
-    """(key, source, bucket, domain, n_tokens) of every record.
+def record_tokens(records: DataFrame, sources: DataFrame, pieces: DataFrame | str, key: str = "rid", method: str = "unigram") -> DataFrame:
+    """(key, source, bucket, domain, n_tokens) of every record under the tokenizer in pieces, or a public one in a file of ranks.
 
     source: the collection; bucket: null if it says nothing; domain: that of the collection in sources, null if it has none,
     the least if sources gives several. sources must be small enough to be broadcast, which is checked.
     """
     records = pick(records, **{key: key}, text="text", source="source", bucket="bucket")
-    score = vocabulary(pieces)
     domains = pick(sources, source="source", domain="domain").groupBy(collection(F.col("source")).alias("source")).agg(F.min("domain").alias("domain"))
     if domains.limit(100_001).count() <= 100_000:
         domains = F.broadcast(domains)
     bucket = F.lower(F.trim("bucket"))
     bucket = F.when(~bucket.isin(*PLACEHOLDERS), bucket)
-    counted = count_tokens(records.select(key, collection(F.col("source")).alias("source"), bucket.alias("bucket"), "text"), "text", score, method).drop("text")
+    rows = records.select(key, collection(F.col("source")).alias("source"), bucket.alias("bucket"), "text")
+    counted = count_public(rows, "text", pieces) if isinstance(pieces, str) else count_tokens(rows, "text", vocabulary(pieces), method)
+    counted = counted.drop("text")
     return counted.join(domains, "source", "left").select(key, "source", "bucket", "domain", "n_tokens")
 
 

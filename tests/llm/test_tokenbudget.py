@@ -47,6 +47,20 @@ def test_against_brute_force():
         assert B.surviving(w, SCORE) == merged(w)
 
 
+def test_public_tokenizer(spark):
+    import base64
+
+    import tiktoken
+
+    path = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+    rng = random.Random(2)
+    texts = ["", None, "hello  world it's", "আমি ভালো\nআছি ১২", "x" * 500, " tail "] + ["".join(rng.choices("abe thing  আমিো é1!", k=40)) for _ in range(60)]
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    e = tiktoken.Encoding("t", pat_str=r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks=ranks, special_tokens={})
+    got = B.count_public(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), "text", path).orderBy("i").collect()
+    assert [r.n_tokens for r in got] == [len(e.encode_ordinary(t)) if t else 0 for t in texts]
+
+
 def test_texts(spark):
     rows = [(1, "ab  c\nab", "S: 1", "x"), (2, None, None, None), (3, "", "s", " ?"), (4, "é", "s:2", "X "), (5, "ab " * 50_000, "s", "x"), (5, "☃", "t", "x")]
     df = spark.createDataFrame([(*r, "y", 3) for r in rows], SCHEMA + ", domain string, n_tokens int")
