@@ -2,35 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.runtime import Scratch, sized_join
 
+#: Edges, counted before, that one task finishes: some 10 MB.
+FEW = 300_000
+
 
 def _ordered(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def roots(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _propagated(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Minimum labels of a bounded number of edges, spread along edges and to the labels that meet, with shortcuts."""
+    edges = pd.concat(list(frames) or [pd.DataFrame({"u": [], "v": []})])
+    ids, place = np.unique(np.concatenate([edges["u"], edges["v"]]), return_inverse=True)
+    u, v = place[: len(edges)], place[len(edges) :]
+    label, before = np.arange(len(ids)), None
+    while before is None or (label != before).any():
+        before, a, b = label, label[u], label[v]
+        label = label.copy()
+        for to, x in ((u, b), (v, a), (a, b), (b, a)):
+            np.minimum.at(label, to, x)
+        label = label[label]
+    moved = label != np.arange(len(ids))
+    yield pd.DataFrame({"label": ids[moved], "root": ids[label[moved]]})
+
+
+def roots(edges: DataFrame, scratch: Scratch, few: int = FEW) -> DataFrame:
     """(label, root): of every label of the edges (u, v) the smallest it is linked to; roots themselves are left out.
 
     In each round a label hooks to the smallest it meets, looks one hop further, and the edges are rewritten; their number
-    falls geometrically. Every round's tables are written to the shared folder.
+    falls geometrically. Once at most `few` are left, one task goes through the remaining rounds. Every round's tables are
+    written to the shared folder.
     """
     edges, out = scratch.save(_ordered(edges), "edges"), None
+    kind = edges.schema["u"].dataType.simpleString()
     while not edges.isEmpty():
-        hook = scratch.save(edges.groupBy("u").agg(F.min("v").alias("m")), "hook")
-        over = hook.select(F.col("u").alias("m"), F.col("m").alias("far"))
-        hook = scratch.save(sized_join(hook, over, ["m"], "left").select("u", F.coalesce("far", "m").alias("m")), "jump")
+        if finish := edges.limit(few + 1).count() <= few:
+            hook = scratch.save(edges.coalesce(1).mapInPandas(_propagated, f"label {kind}, root {kind}").select(F.col("label").alias("u"), F.col("root").alias("m")), "jump")
+        else:
+            hook = scratch.save(edges.groupBy("u").agg(F.min("v").alias("m")), "hook")
+            over = hook.select(F.col("u").alias("m"), F.col("m").alias("far"))
+            hook = scratch.save(sized_join(hook, over, ["m"], "left").select("u", F.coalesce("far", "m").alias("m")), "jump")
+            for end in ("u", "v"):
+                edges = sized_join(edges, hook.select(F.col("u").alias(end), "m"), [end], "left").withColumn(end, F.coalesce("m", end)).drop("m")
         new = hook.select(F.col("u").alias("label"), F.col("m").alias("root"))
         if out is not None:
             moved = sized_join(out, hook.withColumnRenamed("u", "root"), ["root"], "left")
             new = new.unionByName(moved.select("label", F.coalesce("m", "root").alias("root")))
-        # a label two hops away can hook again later; both its entries end at the smallest label of the component
-        out = scratch.save(new.groupBy("label").agg(F.min("root").alias("root")), "roots")
-        for end in ("u", "v"):
-            edges = sized_join(edges, hook.select(F.col("u").alias(end), "m"), [end], "left").withColumn(end, F.coalesce("m", end)).drop("m")
+            # a label two hops away can hook again later; both its entries end at the smallest label of the component
+            new = new.groupBy("label").agg(F.min("root").alias("root"))
+        out = scratch.save(new, "roots")
+        if finish:
+            break
         edges = scratch.save(_ordered(edges), "edges")
     return out if out is not None else edges.select(F.col("u").alias("label"), F.col("v").alias("root"))
 

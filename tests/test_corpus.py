@@ -94,16 +94,38 @@ def test_near_hashes_find_all(spark):
         assert {(r.a, r.b) for r in C.near_hashes(df, blocks=blocks).collect()} == want
 
 
-def test_components_of_long_chain(spark):
+@pytest.mark.parametrize("few", [0, 40, 10_000])
+def test_components_of_long_chain(spark, few):
     import random
 
     n, rng = 300, random.Random(3)
     names = rng.sample(range(10_000), n)
     edges = list(zip(names, names[1:]))
-    got = graph.roots(spark.createDataFrame(edges, "u bigint, v bigint"), Scratch(spark, "t")).collect()
+    got = graph.roots(spark.createDataFrame(edges, "u bigint, v bigint"), Scratch(spark, "t"), few).collect()
     assert len(got) == n - 1 and {r.root for r in got} == {min(names)}
 
 
+@pytest.mark.parametrize("few", [0, 30, 10_000])
+def test_components_of_random_graph(spark, few):
+    import random
+
+    rng = random.Random(9)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)]
+    parent = list(range(400))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        a, b = sorted((find(u), find(v)))
+        parent[b] = a
+    got = {r.label: r.root for r in graph.roots(spark.createDataFrame(edges, "u bigint, v bigint"), Scratch(spark, "t"), few).collect()}
+    assert got == {x: find(x) for x in {x for e in edges for x in e} if find(x) != x}
+    assert graph.roots(spark.createDataFrame([], "u bigint, v bigint"), Scratch(spark, "t"), few).count() == 0
+
+
 def test_spanning_forest_is_kruskals(spark):
     import random
 
