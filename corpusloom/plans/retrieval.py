@@ -346,7 +346,7 @@ def rev_expansion_problems(spark: SparkSession, sf: str) -> DataFrame:
 def rev_pilot(spark: SparkSession, sf: str) -> DataFrame:
     pairs = intent_pairs(spark, sf).drop("source")
     pool = table(spark, sf, "records").where("bucket = 'bangla'").select(F.col("rid").cast("string").alias("id"), "group_id", "text")
-    return W.pilot(pairs, pool, 5, 60)[1]
+    return W.pilot(pairs, pool, 3, 40)[1]
 
 
 @query("rev_encode_once")
