@@ -1,10 +1,11 @@
 """Held-out passages in a corpus: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 Words are parted by blanks; letter case, punctuation and words without letter or digit do not count, and canonically
-equivalent characters are the same. Both sides become 64-bit word hashes by table lookups. Every window of WINDOW words of a
-test item is given one seed, its rarest run of SEED words by occurrences in the whole corpus, so no document with all words of
-a window can be missed, and common phrases seldom propose a document. Proposed pairs are aligned word by word, which scores
-edited copies too, over whole texts.
+equivalent characters are the same. Both sides become 64-bit word hashes by table lookups. For alignments every run of SEED
+words of a test item is a seed, however rare or common: each pair that shares one is aligned word by word over whole texts, so
+copies edited every SEED + 1 words or less often are scored. For leaks, which share a whole window of WINDOW words, the rarest
+run of each window by occurrences in the whole corpus is enough: no such document can be missed, and common phrases seldom
+propose one; a window with a run that the corpus lacks is nowhere whole and proposes nothing.
 """
 
 from __future__ import annotations
@@ -144,13 +145,31 @@ def _trace(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return i, j, int(matches)
 
 
-def alignments(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str) -> DataFrame:
-    """(item, key, score, run, matches, item_from, item_to, doc_from, doc_to) for every proposed pair.
+def _seeds(grams: np.ndarray, at: np.ndarray, row: np.ndarray, docs: DataFrame) -> np.ndarray:
+    """Of all runs those that are the rarest of a window and occur, by their hashes; equally rare: the first in the window."""
+    held = np.unique(grams)
 
-    run: longest common run of words; score: of the best local alignment; places count words that count. Items of fewer than
-    WINDOW words have one window, those of fewer than SEED words none. Null and empty texts give nothing. Keys are taken as
-    they are: repeated rows give repeated results. Equally rare seeds: the first in the window.
-    """
+    def count(batches):
+        for b in batches:
+            found, _ = runs(*word_hashes(b.column(0)))
+            found = found[np.isin(found, held)]
+            g, n = np.unique(found, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], ["g", "n"])
+
+    often = docs.select("t").mapInArrow(count, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")).toArrow()
+    number = dict(zip(often["g"].to_pylist(), often["n"].to_pylist()))  # at most the grams of the block
+    by_item: dict[int, list[int]] = {}
+    for g, place in zip(grams.tolist(), at.tolist()):
+        by_item.setdefault(int(row[place]), []).append(g)
+    seeds = set()
+    for gs in by_item.values():
+        width = min(WINDOW - SEED + 1, len(gs))
+        seeds |= {min(gs[j : j + width], key=lambda g: number.get(g, 0)) for j in range(len(gs) - width + 1)}
+    return np.array(sorted(g for g in seeds if number.get(g)), np.int64)
+
+
+def _aligned(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, whole: bool) -> DataFrame:
+    """The rows of alignments; whole: pairs that share no whole window may be left out."""
     spark = corpus.sparkSession
     scratch = Scratch(spark, "leakage")
     docs = pick(corpus, k=key, t=text).where("t is not null")
@@ -164,45 +183,28 @@ def alignments(corpus: DataFrame, key: str, text: str, items: DataFrame, item: s
         part = wanted.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).toArrow()
         ids, (words, offsets) = part.column(0).to_pylist(), word_hashes(part.column(1).combine_chunks())
         grams, at = runs(words, offsets)
-        held = np.unique(grams)
-
-        def count(batches, held=held):
-            for b in batches:
-                found, _ = runs(*word_hashes(b.column(0)))
-                found = found[np.isin(found, held)]
-                g, n = np.unique(found, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], ["g", "n"])
-
-        often = docs.select("t").mapInArrow(count, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")).toArrow()
-        number = dict(zip(often["g"].to_pylist(), often["n"].to_pylist()))  # at most the grams of the block
         row = cp.rows_of(offsets)
-        seeds: dict[int, set[int]] = {}
-        by_item: dict[int, list[int]] = {}
-        for g, place in zip(grams.tolist(), at.tolist()):
-            by_item.setdefault(int(row[place]), []).append(g)
-        for r, gs in by_item.items():
-            width = min(WINDOW - SEED + 1, len(gs))
-            for j in range(len(gs) - width + 1):
-                seeds.setdefault(min(gs[j : j + width], key=lambda g: number.get(g, 0)), set())
-        for r, gs in by_item.items():
-            for g in gs:
-                if g in seeds:
-                    seeds[g].add(r)
-        seeds = {g: rs for g, rs in seeds.items() if number.get(g)}
-        sought = np.array(sorted(seeds), np.int64)
-
-        def pairs(batches, seeds=seeds, sought=sought, ids=ids, words=words, offsets=offsets):
+        order = np.argsort(grams, kind="stable")
+        seeds, holder = grams[order], row[at][order]
+        if whole:
+            kept = np.isin(seeds, _seeds(grams, at, row, docs))
+            seeds, holder = seeds[kept], holder[kept]
+
+        def pairs(batches, seeds=seeds, holder=holder, ids=ids, words=words, offsets=offsets):
             for b in batches:
                 w, o = word_hashes(b.column(1))
                 g, place = runs(w, o)
-                hit = np.isin(g, sought)
-                row = cp.rows_of(o)[place[hit]]
-                near = sorted({(r, i) for r, x in zip(row.tolist(), g[hit].tolist()) for i in seeds[x]})
-                keys, made = b.column(0), []
-                for r, i in near:
-                    x = align(words[offsets[i] : offsets[i + 1]], w[o[r] : o[r + 1]])
-                    made.append(dict(i=ids[i], k=keys[r].as_py(), score=x["score"], run=x["run"], matches=x["matches"], item_from=x["a_from"], item_to=x["a_to"], doc_from=x["b_from"], doc_to=x["b_to"]))
-                yield pa.RecordBatch.from_pylist(made, schema=ARROW) if made else pa.RecordBatch.from_pylist([], schema=ARROW)
+                first = np.searchsorted(seeds, g)
+                n = np.searchsorted(seeds, g, "right") - first
+                at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                near = np.unique(np.repeat(cp.rows_of(o)[place], n) * len(ids) + holder[at])
+                keys = b.column(0)
+                for low in range(0, len(near), 10_000):
+                    made = []
+                    for r, i in (divmod(x, len(ids)) for x in near[low : low + 10_000].tolist()):
+                        x = align(words[offsets[i] : offsets[i + 1]], w[o[r] : o[r + 1]])
+                        made.append(dict(i=ids[i], k=keys[r].as_py(), score=x["score"], run=x["run"], matches=x["matches"], item_from=x["a_from"], item_to=x["a_to"], doc_from=x["b_from"], doc_to=x["b_to"]))
+                    yield pa.RecordBatch.from_pylist(made, schema=ARROW)
 
         from pyspark.sql.pandas.types import to_arrow_schema
         from pyspark.sql.types import _parse_datatype_string
@@ -215,7 +217,17 @@ def alignments(corpus: DataFrame, key: str, text: str, items: DataFrame, item: s
     return made.select(F.col("i").alias(item), F.col("k").alias(key), *made.columns[2:])
 
 
+def alignments(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str) -> DataFrame:
+    """(item, key, score, run, matches, item_from, item_to, doc_from, doc_to) for every pair that shares a run of SEED words.
+
+    run: longest common run of words; score: of the best local alignment; places count words that count. Items of fewer than
+    SEED words have no pairs. Null and empty texts give nothing. Keys are taken as they are: repeated rows give repeated
+    results.
+    """
+    return _aligned(corpus, key, text, items, item, item_text, False)
+
+
 def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str) -> DataFrame:
     """(item, key): aligned pairs that share at least WINDOW consecutive words; repeated rows come out once."""
-    made = alignments(corpus, key, text, items, item, item_text)
+    made = _aligned(corpus, key, text, items, item, item_text, True)
     return made.where(F.col("run") >= WINDOW).select(item, key).distinct()

@@ -91,3 +91,14 @@ def test_defined_for_odd_tables(spark):
     find = lambda d, i: L.leaks(d, "doc_id", "text", i, "item_id", "text").count()
     assert find(*none) == find(none[0], one[1]) == find(one[0], none[1]) == 0 and find(*one) == 1
     assert L.leaks(one[0].unionByName(one[0]), "doc_id", "text", one[1], "item_id", "text").count() == 1
+
+
+def test_copies_edited_every_few_words_are_aligned(spark):
+    """Every pair with five words in a row in common is aligned, whatever else of the item the corpus holds."""
+    item = [f"t{i}" for i in range(54)]
+    docs = [(n, " ".join(f"x{n}" if i % n == n - 1 else t for i, t in enumerate(item))) for n in (5, 6, 7, 8, 9)]
+    docs += [(20, " ".join(item[10:15])), (21, "b " + " ".join(item[12:17]) + " e"), (22, " ".join(item[30:34])), (23, " ".join(item))]
+    for some in (docs, docs[:-1]):
+        got = {r.doc_id: r for r in L.alignments(spark.createDataFrame(some, DOC), "doc_id", "text", spark.createDataFrame([(5, " ".join(item))], ITEM), "item_id", "text").collect()}
+        assert set(got) == {d for d, _ in some} - {5, 22}
+        assert all(got[n].run == n - 1 and got[n].matches == 54 - 54 // n for n in (6, 9)) and got[21].matches == 5
