@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions import tokenizer as K
+from corpusloom.operators import corpus as C
 from corpusloom.operators import review as R
 from corpusloom.operators import tokenizers as O
 from corpusloom.plans.catalog import query
-from corpusloom.plans.corpus import NORMAL
-from corpusloom.runtime import table
+from corpusloom.plans.corpus import NORMAL, prepared
+from corpusloom.runtime import Scratch, table
 
 WORDS = f"select unnest(list_filter(string_split({NORMAL}, ' '), lambda x: x <> '')) as word from records where text is not null"
 COUNTS = "w as (select word, count(*)::double as weight from q group by word)"
@@ -22,6 +23,17 @@ def counts(spark: SparkSession, sf: str) -> DataFrame:
     return O.word_frequency(table(spark, sf, "queries"), "text").select("word", F.col("n").cast("double").alias("weight"))
 
 
+#: Of training: parts of the buckets, ids in all, seeds, characters of a piece.
+MIXTURE = {"bangla": 0.4, "english": 0.25, "banglish": 0.25, "code-mixed": 0.1}
+VOCAB, SEEDS, LONGEST = 32_000, 64_000, 12
+
+
+def training_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Weighted word counts of the prepared corpus's train records."""
+    train = prepared(spark, sf).where("split = 'train'").select("text", "bucket")
+    return C.word_counts(Scratch(spark, "train").save(train, "train"), MIXTURE)
+
+
 QUERY_WORDS = f"q as ({WORDS.replace('records', 'queries')}), {COUNTS}"
 
 
@@ -43,6 +55,16 @@ def tok_pair_totals(spark: SparkSession, sf: str) -> DataFrame:
     return O.pair_totals(counts(spark, sf))
 
 
+@query("tok_train_seed_counts")
+def tok_train_seed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return O.seed_counts(training_counts(spark, sf), LONGEST)
+
+
+@query("tok_train_pair_totals")
+def tok_train_pair_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return O.pair_totals(training_counts(spark, sf))
+
+
 @query("tok_encode")
 def tok_encode(spark: SparkSession, sf: str) -> DataFrame:
     encode = K.encoder(K.from_pieces(table(spark, sf, "pieces")))
@@ -79,13 +101,13 @@ def tok_inputs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("tok_train_unigram")
 def tok_train_unigram(spark: SparkSession, sf: str) -> DataFrame:
-    model = O.train_unigram(counts(spark, sf), 700, 3000, 8)
+    model = O.train_unigram(training_counts(spark, sf), VOCAB, SEEDS, LONGEST)
     return spark.createDataFrame([(K.PIECES + i, t, s) for i, (t, s) in enumerate(model.pieces)], "piece_id int, piece string, score double")
 
 
 @query("tok_train_bpe")
 def tok_train_bpe(spark: SparkSession, sf: str) -> DataFrame:
-    model = O.train_bpe(counts(spark, sf), 900, 12)
+    model = O.train_bpe(training_counts(spark, sf), VOCAB, LONGEST)
     return spark.createDataFrame([(r, *m, model.pieces[m[2]][0]) for r, m in enumerate(model.merges)], "rank int, lhs int, rhs int, result int, piece string")
 
 

@@ -151,3 +151,22 @@ def test_fingerprint_does_not_depend_on_partitions(spark):
     df = spark.createDataFrame([(i, [i, i + 1]) for i in range(50)], "k int, ids array<int>")
     assert O.fingerprint(df, "k", "ids").collect() == O.fingerprint(df.repartition(7), "k", "ids").collect()
     assert O.fingerprint(df, "k", "ids").collect() != O.fingerprint(df.where("k > 0"), "k", "ids").collect()
+
+
+def test_registered_training_reads_train_records(spark, monkeypatch):
+    """Every word that only train records have is trained on, none that only held-out ones have, at production sizes."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.functions import text as T
+    from corpusloom.plans import corpus, tokenizer
+
+    sf, seen = "/root/testdata/sf0.001", []
+    for name in ("train_unigram", "train_bpe"):
+        monkeypatch.setattr(O, name, lambda counts, *sizes: seen.append((counts, sizes)) or K.Model("bpe", *BPE))
+    tokenizer.tok_train_unigram(spark, sf), tokenizer.tok_train_bpe(spark, sf)
+    assert [sizes for _, sizes in seen] == [(32_000, 64_000, 12), (32_000, 12)]
+    rows = corpus.prepared(spark, sf).where(F.col("bucket").isin(list(tokenizer.MIXTURE)))
+    want = {r.w for r in rows.where("split = 'train'").select(F.explode(T.words("text")).alias("w")).distinct().collect() if len(r.w) <= 64}
+    for counts, _ in seen:
+        got = {r.word: r.weight for r in counts.collect()}
+        assert set(got) == want and len(want) > 100 and 0.99e6 < sum(got.values()) <= 1e6 + 1
