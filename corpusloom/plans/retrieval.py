@@ -120,17 +120,14 @@ def ret_group_means(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(V.group_means(scored(spark, sf, "a"), ["bucket"]))
 
 
-REPEATS = 400
-
-
 @query("ret_bootstrap")
 def ret_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    return S.summarize(scored(spark, sf, "a"), REPEATS)
+    return S.summarize(scored(spark, sf, "a"))
 
 
 @query("ret_compare")
 def ret_compare(spark: SparkSession, sf: str) -> DataFrame:
-    return S.compare(scored(spark, sf, "b"), scored(spark, sf, "a"), ("bucket",), REPEATS)
+    return S.compare(scored(spark, sf, "b"), scored(spark, sf, "a"), ("bucket",))
 
 
 @query("ret_crossed")
@@ -138,7 +135,7 @@ def ret_crossed(spark: SparkSession, sf: str) -> DataFrame:
     """Three runs of each system, told apart by a fixed shift of its scores."""
     runs = lambda name, by: [scored(spark, sf, name).withColumn("run", F.lit(r)).withColumns({m: F.col(m) + by * i for m in V.METRICS}) for i, r in enumerate((17, 29, 43))]
     a, b = runs("a", 0.01), runs("b", 0.0)
-    return S.crossed(b[0].unionByName(b[1]).unionByName(b[2]), a[0].unionByName(a[1]).unionByName(a[2]), REPEATS)
+    return S.crossed(b[0].unionByName(b[1]).unionByName(b[2]), a[0].unionByName(a[1]).unionByName(a[2]))
 
 
 @query("ret_paired", f"""with {QRELS}, {SYSTEMS}, x as (select * from {metrics_sql('a')}), y as (select * from {metrics_sql('b')})

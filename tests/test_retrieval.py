@@ -181,3 +181,23 @@ def test_archive(spark):
         files.archive(reviews.unionByName(reviews))
     with pytest.raises(ValueError):
         files.restore(packet.where("document_id = 'e'"), kept)
+
+
+def test_registered_bootstraps_draw_two_thousand_times(spark, monkeypatch):
+    import inspect
+
+    from corpusloom.plans import retrieval
+
+    drawn = {}
+    for name in ("summarize", "compare", "crossed"):
+        made = inspect.signature(getattr(S, name))
+
+        def keep(*args, name=name, made=made, **kw):
+            bound = made.bind(*args, **kw)
+            bound.apply_defaults()
+            drawn[name] = bound.arguments["repeats"]
+
+        monkeypatch.setattr(retrieval.S, name, keep)
+    for name in ("ret_bootstrap", "ret_compare", "ret_crossed"):
+        getattr(retrieval, name)(spark, "/root/testdata/sf0.001")
+    assert drawn == {"summarize": 2000, "compare": 2000, "crossed": 2000}
