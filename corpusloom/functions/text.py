@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-# fixed values: blanks of Unicode, and patterns for text that is not to be kept
+# fixed values: blanks of Unicode, patterns for text that is not to be kept, the salt of splits, what is no part of a key
 BLANK = r"[\t\n\x0B\f\r\x{85}\p{Z}]+"
 PRIVATE = r"(?i)([a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}|(?:\+?880|\b0)1[3-9][0-9]{8}\b|(?:api[_-]?key|password|secret)\s*[:=]\s*\S+)"
 SPLIT_SALT = "bn-corpus-v1:"
@@ -21,10 +21,15 @@ NOT_KEY = r"[^\p{L}\p{M}\p{N}]"
 
 @F.arrow_udf(StringType())
 def nfc(text: pa.Array) -> pa.Array:
-    """Canonical composition, by Arrow batch; batches of ASCII only are passed on."""
-    if pc.all(pc.string_is_ascii(text)).as_py() is not False:
+    """Canonical composition, by Arrow batch; rows of ASCII only are passed on.
+
+    Arrow's own kernel is of no use: asked for this form, the one at hand (pyarrow 23) leaves letters decomposed.
+    """
+    wide = pc.invert(pc.fill_null(pc.string_is_ascii(text), True))
+    if not pc.any(wide).as_py():
         return text
-    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in text.to_pylist()], pa.string())
+    made = pa.array([unicodedata.normalize("NFC", t) for t in text.filter(wide).to_pylist()], text.type)
+    return made if len(made) == len(text) else pc.replace_with_mask(text, wide, made)
 
 
 def normalize(c: str | Column) -> Column:
@@ -92,6 +97,13 @@ def shingles(w: str | Column, n: int) -> Column:
     return F.when(F.size(w) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
+def run_hashes(w: str | Column, n: int) -> Column:
+    """Distinct 64-bit hashes of the runs of n words, in place of their texts; none if there are fewer."""
+    w = F.col(w) if isinstance(w, str) else w
+    runs = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n)))
+    return F.when(F.size(w) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+
+
 _bits: dict[str, np.ndarray] = {}
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.runtime import Scratch, sized_join
 
-#: Edges, counted before, that one task finishes: some 10 MB.
-FEW = 300_000
+#: Edges, counted before, that one task finishes instead of some more rounds of small jobs; every number gives the same roots.
+FEW = 5_000
 
 
 def _ordered(edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.retrieval import METRICS
+from corpusloom.runtime import Scratch, sized_join
 
 #: Groups whose means every task of a bootstrap holds.
 GROUPS = 2_000_000
@@ -23,36 +24,60 @@ def drawn(repeat: np.ndarray | int, slots: int, n: int, seed: int) -> np.ndarray
     return ((h ^ h >> np.uint64(29)) % np.uint64(n)).astype(np.int64)
 
 
-def _intervals(means: np.ndarray, other: np.ndarray | None, names: list[str], spark, repeats: int, seed: int) -> DataFrame:
-    """(metric, low, high) from repeats over groups (rows of means: groups, metrics), crossed with runs if other gives their
-    number as the last axis. Repeats are spread over tasks."""
-    runs = 1 if other is None else means.shape[2]
+Slice = tuple[str, str]
+
+
+def _intervals(means: dict[Slice, np.ndarray], names: list[str], spark, repeats: int, seed: int) -> DataFrame:
+    """(slice, value, metric, low, high) from repeats over the groups of each slice (rows of means: groups, metrics), crossed
+    with runs if there is a third axis. Repeats of all slices are spread over tasks together."""
+    keys = sorted(means)
 
     def resample(frames):
         for f in frames:
             rows = []
-            for r in f["id"]:
-                chosen = means[drawn(r, len(means), len(means), seed)]
-                mean = chosen.mean(axis=0)
-                if runs > 1 or other is not None:
-                    mean = mean[:, drawn(r, runs, runs, seed + 1)].mean(axis=1)
-                rows += [(int(r), m, float(x)) for m, x in zip(names, mean)]
-            yield pd.DataFrame(rows, columns=["r", "metric", "x"])
-
-    draws = spark.range(repeats).mapInPandas(resample, "r bigint, metric string, x double")
-    order = Window.partitionBy("metric").orderBy("x", "r")
+            for i in f["id"]:
+                (s, v), r = keys[i // repeats], i % repeats
+                x = means[s, v]
+                mean = x[drawn(r, len(x), len(x), seed)].mean(axis=0)
+                if x.ndim == 3:
+                    mean = mean[:, drawn(r, x.shape[2], x.shape[2], seed + 1)].mean(axis=1)
+                rows += [(s, v, int(r), m, float(y)) for m, y in zip(names, mean)]
+            yield pd.DataFrame(rows, columns=["slice", "value", "r", "metric", "x"])
+
+    draws = spark.range(repeats * len(keys)).mapInPandas(resample, "slice string, value string, r bigint, metric string, x double")
+    order = Window.partitionBy("slice", "value", "metric").orderBy("x", "r")
     at = draws.withColumn("i", F.row_number().over(order))
     pick = lambda f: F.max(F.when(F.col("i") == int(f * repeats) + 1, F.col("x")))
-    return at.groupBy("metric").agg(pick(0.025).alias("low"), pick(0.975).alias("high"))
+    return at.groupBy("slice", "value", "metric").agg(pick(0.025).alias("low"), pick(0.975).alias("high"))
 
 
-def _means(rows: DataFrame) -> tuple[list, np.ndarray]:
-    per = rows.groupBy("group_id").agg(*[F.avg(m).alias(m) for m in METRICS]).orderBy("group_id").limit(GROUPS + 1).toPandas()
+def _means(rows: DataFrame, by: tuple[str, ...] = (), most: int = 1000) -> dict[Slice, tuple[list, np.ndarray]]:
+    """Of all rows, and of each value of the columns `by` that is not null, the groups and their means."""
+    slices = [F.struct(F.lit("all").alias("slice"), F.lit("all").alias("value"))] + [F.struct(F.lit(c).alias("slice"), F.col(c).cast("string").alias("value")) for c in by]
+    long = rows.select("group_id", *METRICS, F.explode(F.array(*slices)).alias("s")).where("s.value is not null")
+    per = long.groupBy("s.slice", "s.value", "group_id").agg(*[F.avg(m).alias(m) for m in METRICS]).limit(GROUPS + 1).toPandas()
     if len(per) > GROUPS:
         raise ValueError(f"more than {GROUPS} groups")
     if not len(per):
         raise ValueError("no queries")
-    return per["group_id"].tolist(), per[list(METRICS)].to_numpy(float)
+    out = {}
+    for key, part in per.groupby(["slice", "value"], sort=True):
+        part = part.sort_values("group_id", na_position="first")
+        out[key] = part["group_id"].tolist(), part[list(METRICS)].to_numpy(float)
+    if len(out) > most + 1:
+        raise ValueError(f"more than {most} values of {', '.join(by)}")
+    return out
+
+
+def _summaries(rows: DataFrame, by: tuple[str, ...], repeats: int, seed: int, most: int = 1000) -> DataFrame:
+    """(slice, value, metric, groups, mean, low, high) in one pass over the rows and one over all draws."""
+    if repeats < 40:
+        raise ValueError("at least 40 repeats")
+    means = {k: x for k, (_, x) in _means(rows, by, most).items()}
+    spark = rows.sparkSession
+    middle = [(s, v, m, len(x), float(y)) for (s, v), x in means.items() for m, y in zip(METRICS, x.mean(axis=0))]
+    middle = spark.createDataFrame(middle, "slice string, value string, metric string, groups bigint, mean double")
+    return middle.join(_intervals(means, list(METRICS), spark, repeats, seed), ["slice", "value", "metric"])
 
 
 def summarize(rows: DataFrame, repeats: int = 2000, seed: int = 17) -> DataFrame:
@@ -60,12 +85,7 @@ def summarize(rows: DataFrame, repeats: int = 2000, seed: int = 17) -> DataFrame
 
     Groups are resampled whole. The group means, at most GROUPS, travel to the tasks; raises beyond that and below 40 repeats.
     """
-    if repeats < 40:
-        raise ValueError("at least 40 repeats")
-    _, means = _means(rows)
-    spark = rows.sparkSession
-    middle = spark.createDataFrame([(m, len(means), float(x)) for m, x in zip(METRICS, means.mean(axis=0))], "metric string, groups bigint, mean double")
-    return middle.join(_intervals(means, None, list(METRICS), spark, repeats, seed), "metric")
+    return _summaries(rows, (), repeats, seed).drop("slice", "value")
 
 
 def differences(reference: DataFrame, candidate: DataFrame, strict: bool = True) -> DataFrame:
@@ -90,18 +110,9 @@ def differences(reference: DataFrame, candidate: DataFrame, strict: bool = True)
 def compare(reference: DataFrame, candidate: DataFrame, by: tuple[str, ...] = ("bucket", "domain"), repeats: int = 2000, seed: int = 17, most: int = 1000) -> DataFrame:
     """(slice, value, metric, groups, mean, low, high) of the paired difference over all queries and in each value of `by`.
 
-    Raises for more than `most` values, as each is a bootstrap of its own.
+    All slices are resampled in one job. Raises for more than `most` values in all.
     """
-    rows = differences(reference, candidate).cache()
-    out = summarize(rows, repeats, seed).select(F.lit("all").alias("slice"), F.lit("all").alias("value"), "metric", "groups", "mean", "low", "high")
-    for c in by:
-        values = [r[0] for r in rows.select(c).where(f"{c} is not null").distinct().orderBy(c).limit(most + 1).collect()]
-        if len(values) > most:
-            raise ValueError(f"more than {most} values of {c}")
-        for v in values:
-            one = summarize(rows.where(F.col(c) == v), repeats, seed)
-            out = out.unionByName(one.select(F.lit(c).alias("slice"), F.lit(v).alias("value"), "metric", "groups", "mean", "low", "high"))
-    return out
+    return _summaries(differences(reference, candidate), by, repeats, seed, most)
 
 
 def crossed(reference: DataFrame, candidate: DataFrame, repeats: int = 2000, seed: int = 17) -> DataFrame:
@@ -114,7 +125,7 @@ def crossed(reference: DataFrame, candidate: DataFrame, repeats: int = 2000, see
         raise ValueError("both sides need the same runs, and 40 repeats at least")
     layers, groups = [], None
     for r in runs:
-        names, means = _means(differences(reference.where(F.col("run") == r), candidate.where(F.col("run") == r)))
+        names, means = _means(differences(reference.where(F.col("run") == r), candidate.where(F.col("run") == r)))["all", "all"]
         if groups is not None and names != groups:
             raise ValueError("groups differ across runs")
         groups = names
@@ -123,7 +134,7 @@ def crossed(reference: DataFrame, candidate: DataFrame, repeats: int = 2000, see
     spark = reference.sparkSession
     middle = means.mean(axis=(0, 2))
     rows = spark.createDataFrame([(m, len(groups), len(runs), float(x)) for m, x in zip(METRICS, middle)], "metric string, groups bigint, runs bigint, mean double")
-    return rows.join(_intervals(means, means, list(METRICS), spark, repeats, seed), "metric")
+    return rows.join(_intervals({("all", "all"): means}, list(METRICS), spark, repeats, seed).drop("slice", "value"), "metric")
 
 
 def gates(comparisons: DataFrame, rules: dict[str, float]) -> DataFrame:
@@ -164,7 +175,7 @@ def distribution(df: DataFrame, value: str, group: list[str] | None = None) -> D
     return df.groupBy(*(group or [])).agg(F.count("*").alias("n"), F.median(value).alias("p50"), tail(0.95).alias("p95"), tail(0.99).alias("p99"))
 
 
-def sparsemax(df: DataFrame, row: str, column: str, score: str) -> DataFrame:
+def sparsemax(df: DataFrame, row: str, column: str, score: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(row, column, weight): each row's scores projected on the simplex; weights of 0 are kept.
 
     The threshold follows from the cumulative sum of the falling scores.
@@ -175,7 +186,7 @@ def sparsemax(df: DataFrame, row: str, column: str, score: str) -> DataFrame:
     every = Window.partitionBy(row)
     last = F.max(F.when(F.col("in_"), F.struct("i_", "s_"))).over(every)
     at = at.withColumn("t_", (last["s_"] - 1) / last["i_"])
-    return at.select(row, column, F.greatest(F.col(score) - F.col("t_"), F.lit(0.0)).alias("weight"))
+    return at.select(row, column, *keep, F.greatest(F.col(score) - F.col("t_"), F.lit(0.0)).alias("weight"))
 
 
 def ppmi(df: DataFrame, ids: str, window: int = 2, columns: int = 512) -> DataFrame:
@@ -197,6 +208,43 @@ def ppmi(df: DataFrame, ids: str, window: int = 2, columns: int = 512) -> DataFr
     return out.where("value > 0")
 
 
+def anchored(contexts: DataFrame, anchors: DataFrame, vectors: DataFrame, first: int = 260) -> DataFrame:
+    """(id, vector, support): vectors of new ids as sparse weighted means of those of anchors.
+
+    contexts: (id, col, value) as ppmi() gives them, one vector of unit length for each id once scaled. anchors: (id, old), ids
+    that stand for an id of the old vocabulary; vectors: (old, vector). An anchor takes its old vector. Every other id from
+    `first` on with contexts takes the mean of the anchors' old vectors, weighted by the sparsemax of its cosines with the
+    anchors' contexts; support is how many weigh more than 0. Anchors without contexts are no candidates. Anchors are a part of
+    a vocabulary: their contexts and vectors are sent to the tasks if they fit, joined by column otherwise.
+    """
+    scratch = Scratch(contexts.sparkSession, "anchored")
+    size = contexts.groupBy("id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("size"))
+    unit = scratch.save(contexts.join(size.where("size > 0"), "id").select("id", "col", (F.col("value") / F.col("size")).alias("x")), "unit")
+    own = scratch.save(anchors.select("id", "old").join(unit.select("id").distinct(), "id", "left_semi"), "own")
+    if own.isEmpty():
+        raise ValueError("no anchor has a context")
+    known = scratch.save(unit.join(own, "id").select(F.col("id").alias("anchor"), "old", "col", F.col("x").alias("y")), "known")
+    asked = unit.where(F.col("id") >= first).join(anchors.select("id"), "id", "left_anti")
+    scores = sized_join(asked, known, ["col"]).groupBy("id", "anchor", "old").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
+    scores = scratch.save(scores, "scores")
+    total = own.count()
+    # where the scores sum to less than 1 the threshold is negative, and each anchor, met or not, gains the rest in equal parts
+    sums = asked.select("id").distinct().join(scores.groupBy("id").agg(F.sum("score").alias("c")), "id", "left").select("id", F.coalesce("c", F.lit(0.0)).alias("c"))
+    sums = scratch.save(sums, "sums")
+    rest = sums.where("c < 1").select("id", ((1 - F.col("c")) / total).alias("rest"))
+    few = scores.join(rest.select("id"), "id", "left_semi").select("id", "anchor", "old", F.col("score").alias("weight"))
+    many = sparsemax(scores.join(rest.select("id"), "id", "left_anti"), "id", "anchor", "score", keep=("old",)).where("weight > 0")
+    old = own.join(vectors.select("old", "vector"), "old").select("id", "old", F.posexplode("vector").alias("i", "v"))
+    long = few.unionByName(many).join(vectors.select("old", "vector"), "old").select("id", "anchor", F.posexplode(F.transform("vector", lambda v: v * F.col("weight"))).alias("i", "v"))
+    whole = old.groupBy("i").agg(F.sum("v").alias("s"))  # one row for each place of a vector
+    more = rest.join(F.broadcast(whole)).select("id", F.lit(None).cast(long.schema["anchor"].dataType).alias("anchor"), "i", (F.col("rest") * F.col("s")).alias("v"))
+    mixed = long.unionByName(more).groupBy("id", "i").agg(F.sum("v").alias("v"), F.countDistinct("anchor").alias("n"))
+    mixed = mixed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda p: p.v).alias("vector"), F.max("n").alias("n"))
+    mixed = mixed.join(rest, "id", "left").select("id", "vector", F.when(F.col("rest").isNull(), F.col("n")).otherwise(total).alias("support"))
+    given = anchors.join(vectors, "old").select("id", F.col("vector").cast("array<double>").alias("vector"), F.lit(1).cast("bigint").alias("support"))
+    return given.unionByName(mixed.select("id", "vector", "support"))
+
+
 def l2(vector: str) -> Column:
     """A vector scaled to unit length; one of no length stays."""
     size = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x))

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-import heapq
+import hashlib
+import json
 import math
-from collections import defaultdict
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import lattice as L
 from corpusloom.functions import text as T
 from corpusloom.functions import tokenizer as K
 from corpusloom.runtime import Scratch, need
 
 #: Distinct words that BPE training holds in the driver.
 WORDS = 3_000_000
+#: Pairs looked at in a round of BPE training, and the total below which a pair is only rounding.
+ROUND, RESIDUE = 128, 1e-12
 
 
 def training_input(counts: DataFrame) -> DataFrame:
@@ -47,34 +53,18 @@ def pair_totals(counts: DataFrame) -> DataFrame:
 
 def _expected(words: DataFrame, pieces: list[tuple[str, float]]) -> tuple[list[float], float]:
     """Expected uses of each piece over all segmentations of the words, without fallback, and the negative log-likelihood."""
-    index = {t: (k, s) for k, (t, s) in enumerate(pieces)}
-    longest = max(len(t) for t, _ in pieces)
-
-    def add(x: float, y: float) -> float:
-        if x == -math.inf or y == -math.inf:
-            return max(x, y)
-        return max(x, y) + math.log1p(math.exp(-abs(x - y)))
+    texts, scores = [t for t, _ in pieces], [s for _, s in pieces]
 
     def run(batches):
-        total: dict[int, float] = defaultdict(float)
+        lattice, uses, loss = L.Lattice(texts, scores), np.zeros(len(texts)), 0.0
         for b in batches:
-            for word, weight in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n = len(word)
-                arcs = [(i, j, *index[word[i:j]]) for i in range(n) for j in range(i + 1, min(n, i + longest) + 1) if word[i:j] in index]
-                ahead, behind = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
-                for i, j, _, s in arcs:
-                    ahead[j] = add(ahead[j], ahead[i] + s)
-                for i, j, _, s in reversed(arcs):
-                    behind[i] = add(behind[i], behind[j] + s)
-                if ahead[n] == -math.inf:
-                    # a word the pieces cannot make is left to the fallback, which training does not see
-                    continue
-                total[-1] -= weight * ahead[n]
-                for i, j, k, s in arcs:
-                    x = ahead[i] + s + behind[j] - ahead[n]
-                    if x > -700:
-                        total[k] += weight * math.exp(x)
-        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array(total.values(), pa.float64())], ["k", "x"])
+            some, weights = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
+            for n, places in L.by_length(some):
+                # words that the pieces cannot make are left to the fallback, which training does not see
+                more, lost = lattice.expected(L.code_points([some[i] for i in places], n), weights[places])
+                uses, loss = uses + more, loss + lost
+        k = np.flatnonzero(uses)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1).astype(np.int32)), pa.array(np.append(uses[k], loss))], ["k", "x"])
 
     out, loss = [0.0] * len(pieces), 0.0
     for r in words.mapInArrow(run, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():  # one row per piece at most
@@ -116,71 +106,107 @@ def train_unigram(counts: DataFrame, vocab: int, seed_size: int, longest: int, i
             uses, _ = _expected(words, pieces)
             pieces = scaled([(t, x) for (t, _), x in zip(pieces, uses)])
         if len(pieces) <= target:
+            scratch.drop("words", "seeds")
             return K.Model("unigram", pieces)
         kept = sorted(((t, x) for (t, _), x in zip(pieces, uses)), key=lambda p: (p[0] not in chars, -p[1], p[0]))
         pieces = scaled(sorted(kept[: max(target, int(0.8 * len(pieces)))]))
 
 
+class _Pairs:
+    """Totals of adjacent pairs in arrays that grow, with the words that may hold each; closed pairs keep the total -1."""
+
+    def __init__(self) -> None:
+        self.slot: dict[tuple[int, int], int] = {}
+        self.names: list[tuple[int, int]] = []
+        self.total = np.zeros(1024)
+        self.holders: list[set[int]] = []
+
+    def add(self, pair: tuple[int, int], x: float) -> int:
+        k = self.slot.get(pair)
+        if k is None:
+            k = self.slot[pair] = len(self.names)
+            self.names.append(pair)
+            self.holders.append(set())
+            if k >= len(self.total):
+                self.total = np.concatenate([self.total, np.zeros(len(self.total))])
+        if self.total[k] >= 0:
+            self.total[k] = max(self.total[k] + x, 0.0)
+        return k
+
+    def close(self, k: int) -> None:
+        self.total[k] = -1.0
+
+    def heaviest(self, n: int) -> list[int]:
+        """Slots of the n heaviest open pairs, and of all that weigh as much as the last; equal ones by their symbols."""
+        total = self.total[: len(self.names)]
+        edge = max(np.partition(total, -n)[-n] if len(total) > n else 0.0, RESIDUE)
+        found = np.flatnonzero(total >= edge if edge > RESIDUE else total > RESIDUE).tolist()
+        return sorted(found, key=lambda k: (-total[k], self.names[k]))
+
+
 def train_bpe(counts: DataFrame, vocab: int, longest: int) -> K.Model:
     """Merge the heaviest pair of neighbours until the vocabulary is full; ties go to the earlier made left, then right, piece.
 
-    Spark sums the words; their distinct ones, at most WORDS, are held by the driver, where each merge touches only the words
-    it occurs in. Raises if no pair is left before the vocabulary is full.
+    Spark checks and sums the words and totals their pairs of characters. The driver holds the distinct words, at most WORDS,
+    and in each round merges the heaviest pairs together as far as no two of them share a symbol: until a pair that touches a
+    merged one comes up, no total that matters can have changed, and a pair that a merge makes weighs no more than one that
+    touches. Raises if no pair is left before the vocabulary is full.
     """
     if vocab <= K.PIECES or longest < 1:
         raise ValueError("vocabulary and length do not fit together")
-    rows = training_input(counts).groupBy("word").agg(F.sum("weight").alias("weight")).orderBy("word").limit(WORDS + 1).collect()
+    scratch = Scratch(counts.sparkSession, "bpe")
+    checked = scratch.save(training_input(counts).groupBy("word").agg(F.sum("weight").alias("weight")), "words")
+    rows = checked.orderBy("word").limit(WORDS + 1).collect()
     if len(rows) > WORDS:
         raise ValueError(f"more than {WORDS} distinct words")
     texts = sorted({c for r in rows for c in r.word})
     if len(texts) + K.PIECES > vocab:
         raise ValueError(f"{len(texts)} characters do not fit in the vocabulary")
     place = {t: k for k, t in enumerate(texts)}
-    words = [[place[c] for c in r.word] for r in rows]
-    weight = [r.weight for r in rows]
-    totals: dict[tuple[int, int], float] = defaultdict(float)
-    holders: dict[tuple[int, int], set[int]] = defaultdict(set)
-
-    def account(w: int, sign: int) -> set[tuple[int, int]]:
-        pairs = list(zip(words[w], words[w][1:]))
-        for p in pairs:
-            totals[p] += sign * weight[w]
-            (holders[p].add if sign > 0 else holders[p].discard)(w)
-        return set(pairs)
-
-    for w in range(len(words)):
-        account(w, 1)
-    queue = [(-x, a, b) for (a, b), x in totals.items()]
-    heapq.heapify(queue)
-    merges, closed = [], set()
+    pairs, words, weight = _Pairs(), [[place[c] for c in r.word] for r in rows], [r.weight for r in rows]
+    for r in pair_totals(checked).collect():  # pairs of characters
+        pairs.add((place[r.a], place[r.b]), r.weight)
+    scratch.drop("words")
+    for w, symbols in enumerate(words):
+        for p in zip(symbols, symbols[1:]):
+            pairs.holders[pairs.slot[p]].add(w)
+    merges: list[tuple[int, int, int]] = []
     while len(texts) + K.PIECES < vocab:
-        if not queue:
+        to, used, dull = {}, set(), 0
+        for k in pairs.heaviest(ROUND):
+            a, b = pairs.names[k]
+            if a in used or b in used or len(texts) + K.PIECES == vocab:
+                break
+            pairs.close(k)
+            if len(made := texts[a] + texts[b]) > longest:
+                dull += 1
+                continue
+            known = made in place
+            if not known:
+                place[made] = len(texts)
+                texts.append(made)
+            to[a, b] = place[made]
+            merges.append((a, b, place[made]))
+            used |= {a, b}
+            if known:  # what this piece already touches may now weigh more
+                break
+        if not to and not dull:
             raise ValueError(f"no pair is left to merge at {len(texts) + K.PIECES} of {vocab}")
-        x, a, b = heapq.heappop(queue)
-        # an entry is current if its weight is; outdated ones were pushed again when they changed
-        if (a, b) in closed or totals[a, b] != -x or -x <= 1e-12:
-            continue
-        closed.add((a, b))
-        made = texts[a] + texts[b]
-        if len(made) > longest:
-            continue
-        if made not in place:
-            place[made] = len(texts)
-            texts.append(made)
-        to, changed = place[made], set()
-        merges.append((a, b, to))
-        for w in sorted(holders[a, b]):
-            changed |= account(w, -1)
+        for w in sorted(set().union(*[pairs.holders[pairs.slot[p]] for p in to])):
             old, new, i = words[w], [], 0
             while i < len(old):
-                pair = old[i] == a and i + 1 < len(old) and old[i + 1] == b
-                new.append(to if pair else old[i])
-                i += 1 + pair
+                made = to.get((old[i], old[i + 1])) if i + 1 < len(old) else None
+                new.append(old[i] if made is None else made)
+                i += 1 if made is None else 2
+            if len(new) == len(old):
+                continue
             words[w] = new
-            changed |= account(w, 1)
-        for p in changed - closed:
-            if totals[p] > 1e-12:
-                heapq.heappush(queue, (-totals[p], *p))
+            for p in zip(old, old[1:]):
+                pairs.add(p, -weight[w])
+            for p in zip(new, new[1:]):
+                pairs.holders[pairs.add(p, weight[w])].add(w)
+        for p in to:
+            pairs.holders[pairs.slot[p]] = set()
     return K.Model("bpe", [(t, 0.0) for t in texts], merges)
 
 
@@ -201,30 +227,62 @@ def nearest_rank(value: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) within group (order by {value})")
 
 
+#: What metrics() sums over the texts of a bucket.
+SUMS = ("examples", "tokens", "base_tokens", "words", "bytes", "characters", "space_tokens", "fallback_tokens", "truncated", "wrong")
+
+
+def _measures(model: K.Model, most: int, special: int):
+    """A function of batches (bucket, normalised text): sums by bucket and number of ids (kind 0), ids used in it (kind 1)."""
+
+    def run(batches):
+        for b in batches:
+            ids = K.encode_batch(model, b.column(1))
+            wrong = pc.invert(pc.equal(K.decode_batch(model, ids), b.column(1)))
+            flat = ids.flatten().to_numpy(zero_copy_only=False)
+            n = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            count = lambda mask: np.bincount(row[mask], minlength=len(n))
+            fused, space = count(flat >= K.PIECES + len(model.pieces)), count(flat == K.SPACE)
+            blank, fallback = space + fused, count((flat >= K.BYTES) & (flat < K.PIECES) & (flat != K.SPACE))
+            if model.space_fusion:  # a fused byte is a byte of the fallback as well
+                under = np.array(model.space_fusion)
+                at = flat[flat >= K.PIECES + len(model.pieces)] - K.PIECES - len(model.pieces)
+                fallback = fallback + np.bincount(row[flat >= K.PIECES + len(model.pieces)][under[at] < K.PIECES], minlength=len(n))
+            length = lambda f: f(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            size = length(pc.utf8_length)
+            words = np.where(size > 0, length(lambda t: pc.count_substring(t, " ")) + 1, 0)
+            names = b.column(0).dictionary_encode(null_encoding="encode")
+            code = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            values = (np.ones(len(n), np.int64), n, n + fused, words, length(pc.binary_length), size, blank, fallback, n + special > most, wrong.to_numpy(zero_copy_only=False))
+            keys, place = np.unique(code << 32 | n, return_inverse=True)
+            sums = [np.bincount(place, v, len(keys)).astype(np.int64) for v in values]
+            seen = np.unique(code[row] << 32 | flat)
+            every = np.concatenate([keys, seen])
+            kind = np.repeat(np.array([0, 1], np.int32), [len(keys), len(seen)])
+            columns = [pa.array(kind), names.dictionary.take(pa.array(every >> 32)), pa.array((every & 0xFFFFFFFF).astype(np.int64))]
+            columns += [pa.array(np.concatenate([x, np.zeros(len(seen), np.int64)])) for x in sums]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "bucket", "v", *SUMS])
+
+    return run
+
+
 def metrics(df: DataFrame, bucket: str, text: str, model: K.Model, most: int = 510, special: int = 2) -> DataFrame:
     """Of each bucket: examples, tokens, words, bytes, characters, blanks, fallbacks, truncated, used ids, rates, percentiles.
 
-    Raises if any text does not come back from its ids. Null texts are left out, a null bucket is a bucket.
+    One pass over the texts sums by bucket and length and notes the ids used; all else follows from that table, which has at
+    most a row for each bucket and length or id. Raises if any text does not come back from its ids. Null texts are left out,
+    a null bucket is a bucket.
     """
     need(df, bucket, text)
-    encode, decode = K.encoder(model), K.decoder(model)
-    rows = df.where(F.col(text).isNotNull()).select(F.col(bucket).alias("bucket"), T.normalize(text).alias("t"))
+    rows = df.where(F.col(text).isNotNull()).select(F.col(bucket).cast("string").alias("bucket"), T.normalize(text).alias("t"))
+    made = rows.mapInArrow(_measures(model, most, special), "kind int, bucket string, v bigint, " + ", ".join(f"{c} bigint" for c in SUMS))
     scratch = Scratch(df.sparkSession, "metrics")
-    ids = scratch.save(rows.withColumn("ids", encode("t")).withColumn("same", decode("ids") == F.col("t")), "ids")
-    if not ids.where("not same").isEmpty():
+    made = scratch.save(made.groupBy("kind", "bucket", "v").agg(*[F.sum(c).alias(c) for c in SUMS]), "sums")
+    if not made.where("wrong > 0").isEmpty():
         raise ValueError("a text does not come back from its ids")
-    ids = ids.withColumn("base", K.expanded("ids", model))
-    blank = F.size(F.filter("base", lambda i: i == K.SPACE))
-    fallback = F.size(F.filter("base", lambda i: (i >= K.BYTES) & (i < K.PIECES) & (i != K.SPACE)))
-    one = ids.select("bucket", F.size("ids").alias("n"), F.size("base").alias("b"), blank.alias("blank"), fallback.alias("fallback"), F.size(T.words("t")).alias("words"), F.octet_length("t").alias("bytes"), F.length("t").alias("chars"))
-    sums = one.groupBy("bucket").agg(
-        F.count("*").alias("examples"), *[F.sum(a).alias(b) for a, b in (("n", "tokens"), ("b", "base_tokens"), ("words", "words"), ("bytes", "bytes"), ("chars", "characters"), ("blank", "space_tokens"), ("fallback", "fallback_tokens"))],
-        F.count_if(F.col("n") + special > most).alias("truncated"),
-    )
-    used = ids.select("bucket", F.explode(F.array_distinct("ids")).alias("id")).groupBy("bucket", "id").agg(F.lit(1)).groupBy("bucket").agg(F.count("*").alias("used_ids"))
-    sizes = floor_percentile(one.groupBy("bucket", "n").agg(F.count("*").alias("c")), ["bucket"], "n", "c", {"p50": 50, "p95": 95, "p99": 99})
-    null_safe = lambda a, b: a.join(b.withColumnRenamed("bucket", "bucket_"), F.col("bucket").eqNullSafe(F.col("bucket_")), "left").drop("bucket_")
-    out = null_safe(null_safe(sums, used), sizes)
+    sums = made.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in SUMS if c != "wrong"], F.sum("kind").alias("used_ids"))
+    sizes = floor_percentile(made.where("kind = 0"), ["bucket"], "v", "examples", {"p50": 50, "p95": 95, "p99": 99})
+    out = sums.join(sizes.withColumnRenamed("bucket", "bucket_"), F.col("bucket").eqNullSafe(F.col("bucket_")), "left").drop("bucket_")
     solid = F.col("base_tokens") - F.col("space_tokens")
     return out.withColumns(
         {
@@ -232,11 +290,29 @@ def metrics(df: DataFrame, bucket: str, text: str, model: K.Model, most: int = 5
             "tokens_per_word": F.col("tokens") / F.col("words"),
             "truncation_rate": F.col("truncated") / F.col("examples"),
             "fallback_rate": F.col("fallback_tokens") / F.greatest(solid, F.lit(1)),
-            "utilization": F.coalesce("used_ids", F.lit(0)) / model.vocab_size,
+            "utilization": F.col("used_ids") / model.vocab_size,
         }
     )
 
 
+def train_report(path: str, model: K.Model, counts: DataFrame, parameters: dict, mixture: dict[str, float] | None, seconds: float) -> dict:
+    """Write a model and a side-car of its training beside it (path and path.json): parameters, mixture, a hash of the word
+    counts that does not depend on their order, and of the model, sizes, seconds. Refuses to overwrite; returns the side-car.
+    """
+    one = F.conv(F.substring(F.sha2(F.concat_ws("\x01", "word", F.round("weight", 6).cast("string")), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    words = counts.agg(F.count("*").alias("n"), F.sum(one).cast("string").alias("h")).first()
+    for p in (path, f"{path}.json"):
+        if Path(p).exists():
+            raise FileExistsError(p)
+    model.save(path)
+    made = {
+        "algorithm": model.algorithm, "vocab_size": model.vocab_size, "pieces": len(model.pieces), "merges": len(model.merges), "normalization": model.normalization,
+        "parameters": parameters, "mixture": mixture, "words": words.n, "counts_hash": words.h, "model_sha256": hashlib.sha256(Path(path).read_bytes()).hexdigest(), "seconds": seconds,
+    }
+    Path(f"{path}.json").write_text(json.dumps(made, ensure_ascii=False, indent=2), "utf-8")
+    return made
+
+
 def word_frequency(df: DataFrame, text: str, most_bytes: int = 1024) -> DataFrame:
     """(word, n): occurrences of words of at most so many bytes."""
     words = df.select(F.explode(T.words(T.normalize(text))).alias("word"))
@@ -252,11 +328,18 @@ def frequent_words(df: DataFrame, text: str, model: K.Model, n: int) -> list[str
 
 def quality(df: DataFrame, text: str, model: K.Model, most: int = 510) -> DataFrame:
     """One row: texts, their part that comes back from its ids, unknown ids, the part above `most` ids, nearest-rank p95."""
-    encode, decode = K.encoder(model), K.decoder(model)
-    rows = df.where(F.col(text).isNotNull()).select(T.normalize(text).alias("t")).withColumn("ids", encode("t"))
-    rows = rows.select((decode("ids") == F.col("t")).cast("double").alias("same"), F.size("ids").alias("n"), F.size(F.filter("ids", lambda i: i == K.UNK)).alias("unknown"))
+
+    def run(batches):
+        for b in batches:
+            ids = K.encode_batch(model, b.column(0))
+            flat = ids.flatten().to_numpy(zero_copy_only=False)
+            n = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+            unknown = np.bincount(np.repeat(np.arange(len(n)), n)[flat == K.UNK], minlength=len(n))
+            yield pa.RecordBatch.from_arrays([pc.equal(K.decode_batch(model, ids), b.column(0)), pa.array(n.astype(np.int64)), pa.array(unknown.astype(np.int64))], ["same", "n", "unknown"])
+
+    rows = df.where(F.col(text).isNotNull()).select(T.normalize(text).alias("t")).mapInArrow(run, "same boolean, n bigint, unknown bigint")
     over = (F.col("n") > most).cast("double")
-    return rows.agg(F.count("*").alias("texts"), F.avg("same").alias("round_trip"), F.sum("unknown").alias("unknown"), F.avg(over).alias("over"), nearest_rank("n", 0.95).alias("p95"))
+    return rows.agg(F.count("*").alias("texts"), F.avg(F.col("same").cast("double")).alias("round_trip"), F.sum("unknown").alias("unknown"), F.avg(over).alias("over"), nearest_rank("n", 0.95).alias("p95"))
 
 
 def after_space(df: DataFrame, ids: str) -> DataFrame:

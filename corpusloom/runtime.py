@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a table that may be broadcast, once counted: at under 200 bytes a row it stays below 40 MB.
+#: Rows of a table that may be broadcast, once counted.
 BROADCAST_ROWS = 200_000
+#: Bytes of such a table, by the lengths of its values.
+BROADCAST_BYTES = 40_000_000
+#: Bytes of files below which spread() acts.
+SMALL_FILES = 64_000_000
 
 
 def get_spark(app: str = "corpusloom", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -31,9 +36,16 @@ def get_spark(app: str = "corpusloom", cpus: int | str = "*", **conf: str) -> Sp
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where that is unset, a local one, as in tests."""
+    """The shared folder of ``spark.checkpoint.dir``; where that is unset, a local one, as in tests.
+
+    A local folder holds only what one machine wrote, so it is refused on a cluster: a session of another master than
+    ``local`` must name its folder.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         root = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(_remove, spark, root)
@@ -48,6 +60,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+
+
 class Scratch:
     """Tables written into the shared folder: they cut lineage and outlive any executor."""
 
@@ -68,15 +85,58 @@ class Scratch:
             _remove(self.spark, old)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        if path := self.paths.pop(name, None):
-            _remove(self.spark, path)
+    def drop(self, *names: str) -> None:
+        """Remove tables that nothing lazy reads any more."""
+        for name in names:
+            if path := self.paths.pop(name, None):
+                _remove(self.spark, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove every table that operators of this session wrote. Results that are not written yet can't be read afterwards."""
+    _remove(spark, f"{scratch_root(spark)}/corpusloom")
+
+
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row's values, about: lengths of texts, sizes of lists, 8 for all else."""
+    out = F.lit(0)
+    for f in df.schema:
+        name, kind = f"`{f.name}`", f.dataType.typeName()
+        if kind in ("string", "binary"):
+            out = out + F.coalesce(F.octet_length(name), F.lit(0)) + 8
+        elif kind in ("array", "map"):
+            out = out + F.coalesce(F.octet_length(F.to_json(name)) if kind == "map" or f.dataType.elementType.typeName() in ("string", "struct", "array") else F.size(name) * 8, F.lit(0)) + 8
+        else:
+            out = out + 8
+    return out
+
+
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table is small enough to be sent to all executors: rows counted, bytes summed."""
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(_width(df)).alias("bytes")).first()
+    return found.n <= rows and (found.bytes or 0) <= most
 
 
 def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join left with right, a written table: broadcast if its counted rows are few, else shuffled, skew left to AQE."""
-    small = right.limit(rows + 1).count() <= rows
-    return left.join(F.broadcast(right) if small else right, on, how)
+    """Join left with right, a written table: broadcast if its rows and bytes are few, else shuffled, skew left to AQE."""
+    return left.join(F.broadcast(right) if fits_broadcast(right, rows) else right, on, how)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores if it is read from fewer files than there are cores, each too small to be split; else as it is.
+
+    Work in Python on a small table would else run in as many tasks as there are files. What is shuffled is bounded by
+    SMALL_FILES; keys say how rows are dealt out, so that a task that is run again gets the same.
+    """
+    spark = df.sparkSession
+    files, cores = df.inputFiles(), spark.sparkContext.defaultParallelism
+    if not files or len(files) >= cores:
+        return df
+    conf, size = spark._jsc.hadoopConfiguration(), 0
+    for f in files:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f)
+        size += where.getFileSystem(conf).getFileStatus(where).getLen()
+    return df.repartition(cores, *keys) if size <= SMALL_FILES else df
 
 
 def need(df: DataFrame, *columns: str) -> None:

@@ -80,3 +80,68 @@ def test_stream_keeps_first_of_key(spark, tmp_path):
     stream = ingest.records_stream(spark, f"{tmp_path}/in", df, files=1)
     got = ingest.drain(ingest.first_of_key(ingest.accepted(stream)), "t")
     assert sorted(r.key for r in got.collect()) == ["alongenoughtext", "anotherlongtext"]
+
+
+def test_dataset_manifest(spark, tmp_path):
+    for f in files.DATASET:
+        (tmp_path / f).write_bytes(f.encode())
+    hashes = {f: hashlib.sha256(f.encode()).hexdigest() for f in files.DATASET}
+    check = lambda m: {tuple(r) for r in files.verify_dataset(spark, str(tmp_path), m).collect()}
+    assert check(hashes) == set()
+    assert check({k: v for k, v in hashes.items() if k[0] != "q"} | {"documents.jsonl": "0", "a/b": "0"}) == {("queries.jsonl", "not covered"), ("qrels.jsonl", "not covered"), ("documents.jsonl", "hash"), ("a/b", "not a name"), ("a/b", "missing")}
+
+
+def test_local_paths():
+    assert all(map(files.is_local, ["a", "a/b", "a/../b", "./a", "a/.."]))
+    assert not any(map(files.is_local, ["", "/a", "..", "a/../..", "../a", "a\0b"]))
+
+
+def test_batches_refuse_another_split(spark):
+    df = spark.range(600).selectExpr("id", "'train' as split")
+    assert [len(b) for b in files.batches(df, "train")] == [256, 256, 88]
+    with pytest.raises(ValueError, match="'test'"):
+        list(files.batches(df, "test"))
+
+
+def test_csv_without_line_breaks_is_split(spark, tmp_path):
+    (tmp_path / "y.csv").write_text('a,b\n1,"x ""y"""\n2,z\n', "utf-8")
+    assert [tuple(r) for r in files.read_csv(spark, f"{tmp_path}/y.csv", ["a", "b"]).collect()] == [("1", 'x "y"'), ("2", "z")]
+
+
+def test_decisions_archive(spark):
+    rows = spark.createDataFrame([("q1", True, True, None, "r", "human", "text")], "query_id string, pair_correct boolean, privacy_review_passed boolean, exclusion_reason string, reviewer string, reviewer_origin string, query string")
+    kept = files.archive_decisions(rows)
+    assert "query" not in kept.columns
+    packet = spark.createDataFrame([("q1", "text"), ("q2", "more")], "query_id string, query string")
+    assert {(r.query_id, r.pair_correct) for r in files.restore_decisions(packet, kept).collect()} == {("q1", True), ("q2", None)}
+    with pytest.raises(ValueError, match="no query"):
+        files.restore_decisions(packet.where("query_id = 'q2'"), kept)
+    with pytest.raises(ValueError, match="twice"):
+        files.archive_decisions(rows.unionByName(rows))
+
+
+def test_replayed_batch_is_there_once(spark, tmp_path):
+    write = ingest.batch_writer(f"{tmp_path}/rows")
+    for number in (0, 1, 1):
+        write(spark.range(3), number)
+    assert spark.read.parquet(f"{tmp_path}/rows").count() == 6
+
+
+def test_scratch_refuses_a_local_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from corpusloom.runtime import scratch_root
+
+    conf = SimpleNamespace(get=lambda key, default=None: None, set=lambda *a: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    conf = SimpleNamespace(get=lambda key, default=None: "hdfs:///shared/")
+    assert scratch_root(SimpleNamespace(conf=conf)) == "hdfs:///shared"
+
+
+def test_wide_rows_are_not_broadcast(spark, tmp_path):
+    from corpusloom.runtime import fits_broadcast
+
+    spark.range(100).selectExpr("id", "repeat('x', 1000) as t").write.parquet(f"{tmp_path}/wide")
+    wide = spark.read.parquet(f"{tmp_path}/wide")
+    assert fits_broadcast(wide) and not fits_broadcast(wide, rows=99) and not fits_broadcast(wide, most=90_000)
