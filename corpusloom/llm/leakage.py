@@ -10,12 +10,14 @@ propose one; a window with a run that the corpus lacks is nowhere whole and prop
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.llm import codepoints as cp
 from corpusloom.runtime import Scratch, pick
@@ -25,6 +27,7 @@ SEED, WINDOW = 5, 10
 #: further pass over the corpus.
 BLOCK_WORDS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+# fixed values: odd multipliers of public mixing functions
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,54 +98,116 @@ def runs(words: np.ndarray, offsets: np.ndarray, n: int = SEED) -> tuple[np.ndar
     return _mix(h)[at].view(np.int64), at
 
 
-def align(a: np.ndarray, b: np.ndarray) -> dict:
-    """Best local alignment of two arrays of words, and their longest common run.
+#: Cells of the matrices that are computed at once.
+CELLS = 50_000
+FIELDS = ("score", "run", "matches", "a_from", "a_to", "b_from", "b_to")
+#: Bits of a cell below its score: places of the left and of the right side. Longer texts are refused.
+LEFT, RIGHT = 19, 22
+_LOW = LEFT + RIGHT
+
+
+def _in_blocks(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Places of pairs that are computed together: of like sizes, at most CELLS in a row, none with an empty side."""
+    sizes = np.array([(len(a), len(b)) for a, b in zip(left, right)]).reshape(-1, 2)
+    order = np.lexsort((sizes[:, 0], sizes[:, 1]))
+    order, at = order[(sizes[order] > 0).all(axis=1)], 0
+    while at < len(order):
+        # sizes of the right sides rise, so the last pair of a block is its widest
+        width = sizes[order[at : at + CELLS], 1]
+        n = max(1, int(np.searchsorted(np.arange(1, len(width) + 1) * (width + 1), CELLS, "right")))
+        yield order[at : at + n]
+        at += n
 
-    Returns score, run, matches, the ends (exclusive) and starts of the alignment in a and b. Rows of a are done one by one,
-    all of b at once: the gap in b is a running maximum.
+
+def align_many(left: list[np.ndarray], right: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """Best local alignments of pairs of arrays of words, and their longest common runs, as arrays of FIELDS.
+
+    Pairs of like sizes are computed together, row by row: all of their right sides at once, the gap there being a running
+    maximum. A cell is one number, the score above the place where its alignment began, so the greater of two cells is the
+    better one, of equal ones that which began later; memory grows with the right side alone. A second pass over the aligned
+    parts counts their matches in the same way.
     """
-    n, m = len(a), len(b)
-    if not n or not m:
-        return dict(score=0, run=0, matches=0, a_from=0, a_to=0, b_from=0, b_to=0)
-    slope = np.arange(m + 1) * -GAP
-    h, run, best, longest = np.zeros(m + 1, np.int32), np.zeros(m + 1, np.int32), (0, 0, 0), 0
-    for i in range(n):
-        same = b == a[i]
-        t = np.zeros(m + 1, np.int32)
-        t[1:] = np.maximum(np.maximum(h[:-1] + np.where(same, MATCH, MISMATCH), h[1:] + GAP), 0)
-        h = (np.maximum.accumulate(t + slope) - slope).astype(np.int32)
-        follow = np.zeros(m + 1, np.int32)
-        follow[1:] = np.where(same, run[:-1] + 1, 0)
+    out = {f: np.zeros(len(left), np.int64) for f in FIELDS}
+    if any(len(a) >> LEFT for a in left) or any(len(b) >> RIGHT for b in right):
+        raise ValueError(f"an item of {1 << LEFT} words, or a text of {1 << RIGHT}")
+    for some in _in_blocks(left, right):
+        made = _block([left[i] for i in some], [right[i] for i in some])
+        for f, x in made.items():
+            out[f][some] = x
+    a = [x[i:j] for x, i, j in zip(left, out["a_from"], out["a_to"])]
+    b = [x[i:j] for x, i, j in zip(right, out["b_from"], out["b_to"])]
+    for some in _in_blocks(a, b):
+        out["matches"][some] = _matches([a[i] for i in some], [b[i] for i in some])
+    return out
+
+
+def _numbered(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Both sides as numbers of words, in rows filled up to one width by two numbers that match nothing."""
+    sides = []
+    for rows, fill in ((left, -1), (right, -2)):
+        sizes = np.array([len(r) for r in rows])
+        there = np.arange(sizes.max()) < sizes[:, None]
+        sides.append((np.full(there.shape, fill, np.int32), there))
+    (a, in_a), (b, in_b) = sides
+    words = np.concatenate(left + right)
+    number = np.unique(words, return_inverse=True)[1].astype(np.int32)
+    split = int(in_a.sum())
+    a[in_a], b[in_b] = number[:split], number[split:]
+    return a, b
+
+
+def _block(left: list[np.ndarray], right: list[np.ndarray]) -> dict[str, np.ndarray]:
+    a, b = _numbered(left, right)
+    rows, m = b.shape
+    place = np.arange(m + 1, dtype=np.int64)
+    slope = (place * -GAP) << _LOW
+    match, other, gap = np.int64(MATCH << _LOW), np.int64(MISMATCH * (1 << _LOW)), np.int64(GAP * (1 << _LOW))
+    h, run = np.tile(place, (rows, 1)), np.zeros((rows, m + 1), np.int32)
+    best, a_to, b_to, longest = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int32)
+    # filled-up rows and columns match nothing: whatever is computed there is below what it came from
+    for i in range(a.shape[1]):
+        same = b == a[:, i : i + 1]
+        t = h + gap
+        np.maximum(t[:, 1:], h[:, :-1] + np.where(same, match, other), out=t[:, 1:])
+        # an alignment that begins behind this row
+        np.maximum(t, place + (i + 1 << RIGHT), out=t)
+        t += slope
+        np.maximum.accumulate(t, axis=1, out=t)
+        t -= slope
+        h = t
+        follow = np.zeros_like(run)
+        np.add(run[:, :-1], 1, out=follow[:, 1:], where=same)
         run = follow
-        longest = max(longest, int(run.max()))
-        j = int(h.argmax())
-        if h[j] > best[0]:
-            best = (int(h[j]), i + 1, j)
-    score, i, j = best
-    # the alignment spans at most this many words of b, as each gap costs what half a match brings
-    low = max(0, j - i * (1 - MATCH // GAP) - 1)
-    a_from, b_from, matches = _trace(a[:i], b[low:j])
-    return dict(score=score, run=longest, matches=matches, a_from=a_from, a_to=i, b_from=low + b_from, b_to=j)
-
-
-def _trace(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    n, m = len(a), len(b)
-    h = np.zeros((n + 1, m + 1), np.int32)
-    slope = np.arange(m + 1) * -GAP
-    for i in range(n):
-        t = np.zeros(m + 1, np.int32)
-        t[1:] = np.maximum(np.maximum(h[i, :-1] + np.where(b == a[i], MATCH, MISMATCH), h[i, 1:] + GAP), 0)
-        h[i + 1] = np.maximum.accumulate(t + slope) - slope
-    i, j, matches = n, m, 0
-    while i and j and h[i, j] > 0:
-        same = a[i - 1] == b[j - 1]
-        if h[i, j] == h[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            i, j, matches = i - 1, j - 1, matches + same
-        elif h[i, j] == h[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return i, j, int(matches)
+        np.maximum(longest, run.max(axis=1), out=longest)
+        top = h.max(axis=1)
+        for k in np.flatnonzero(top >> _LOW > best >> _LOW):
+            best[k], a_to[k], b_to[k] = top[k], i + 1, h[k].argmax()
+    score = best >> _LOW
+    began = np.where(score > 0, best & ((1 << _LOW) - 1), 0)
+    return dict(score=score, run=longest, a_from=began >> RIGHT, a_to=a_to, b_from=began & ((1 << RIGHT) - 1), b_to=b_to)
+
+
+def _matches(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Most matches of an alignment of best score from the first words of both sides to the last ones."""
+    a, b = _numbered(left, right)
+    rows, m = b.shape
+    n, width = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    slope = (np.arange(m + 1, dtype=np.int64) * -GAP) << _LOW
+    match, other, gap = np.int64((MATCH << _LOW) + 1), np.int64(MISMATCH * (1 << _LOW)), np.int64(GAP * (1 << _LOW))
+    h, out = np.tile(-slope, (rows, 1)), np.zeros(rows, np.int64)
+    for i in range(a.shape[1]):
+        t = h + gap
+        np.maximum(t[:, 1:], h[:, :-1] + np.where(b == a[:, i : i + 1], match, other), out=t[:, 1:])
+        t += slope
+        h = np.maximum.accumulate(t, axis=1) - slope
+        last = np.flatnonzero(n == i + 1)
+        out[last] = h[last, width[last]] & ((1 << _LOW) - 1)
+    return out
+
+
+def align(a: np.ndarray, b: np.ndarray) -> dict:
+    """The fields of align_many() of one pair."""
+    return {f: int(x[0]) for f, x in align_many([a], [b]).items()}
 
 
 def _seeds(grams: np.ndarray, at: np.ndarray, row: np.ndarray, docs: DataFrame) -> np.ndarray:
@@ -177,7 +242,9 @@ def _aligned(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str
     wanted = pick(items, i=item, t=item_text).where("t is not null")
     ikind = wanted.schema["i"].dataType.simpleString()
     blocks = 1 + int(wanted.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0) // BLOCK_WORDS
-    schema = f"i {ikind}, k {kind}, score int, run int, matches int, item_from int, item_to int, doc_from int, doc_to int"
+    schema = f"i {ikind}, k {kind}, score int, run int, matches int, item_from int, item_to int, doc_from int, doc_to int, words int"
+    itype, ktype = to_arrow_type(wanted.schema["i"].dataType), to_arrow_type(docs.schema["k"].dataType)
+    names = ["i", "k", "score", "run", "matches", "item_from", "item_to", "doc_from", "doc_to", "words"]
     out = []
     for block in range(blocks):
         part = wanted.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).toArrow()
@@ -191,6 +258,7 @@ def _aligned(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str
             seeds, holder = seeds[kept], holder[kept]
 
         def pairs(batches, seeds=seeds, holder=holder, ids=ids, words=words, offsets=offsets):
+            named = pa.array(ids, itype)
             for b in batches:
                 w, o = word_hashes(b.column(1))
                 g, place = runs(w, o)
@@ -198,18 +266,12 @@ def _aligned(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str
                 n = np.searchsorted(seeds, g, "right") - first
                 at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
                 near = np.unique(np.repeat(cp.rows_of(o)[place], n) * len(ids) + holder[at])
-                keys = b.column(0)
-                for low in range(0, len(near), 10_000):
-                    made = []
-                    for r, i in (divmod(x, len(ids)) for x in near[low : low + 10_000].tolist()):
-                        x = align(words[offsets[i] : offsets[i + 1]], w[o[r] : o[r + 1]])
-                        made.append(dict(i=ids[i], k=keys[r].as_py(), score=x["score"], run=x["run"], matches=x["matches"], item_from=x["a_from"], item_to=x["a_to"], doc_from=x["b_from"], doc_to=x["b_to"]))
-                    yield pa.RecordBatch.from_pylist(made, schema=ARROW)
-
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string
-
-        ARROW = to_arrow_schema(_parse_datatype_string(schema))
+                for low in range(0, len(near), 20_000):
+                    r, i = np.divmod(near[low : low + 20_000], len(ids))
+                    x = align_many([words[offsets[k] : offsets[k + 1]] for k in i], [w[o[k] : o[k + 1]] for k in r])
+                    columns = [named.take(pa.array(i)), b.column(0).take(pa.array(r)).cast(ktype), *[pa.array(x[f].astype(np.int32)) for f in FIELDS], pa.array(np.diff(offsets)[i].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
         out.append(scratch.save(docs.mapInArrow(pairs, schema), f"block{block}"))
     made = out[0]
     for x in out[1:]:
@@ -217,14 +279,21 @@ def _aligned(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str
     return made.select(F.col("i").alias(item), F.col("k").alias(key), *made.columns[2:])
 
 
+#: Part of the best score of a whole item from which a pair without a shared window is taken for an edited copy.
+EDITED = 0.5
+
+
 def alignments(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str) -> DataFrame:
-    """(item, key, score, run, matches, item_from, item_to, doc_from, doc_to) for every pair that shares a run of SEED words.
+    """(item, key, score, run, matches, item_from, item_to, doc_from, doc_to, kind) for every pair that shares a run of SEED words.
 
-    run: longest common run of words; score: of the best local alignment; places count words that count. Items of fewer than
-    SEED words have no pairs. Null and empty texts give nothing. Keys are taken as they are: repeated rows give repeated
-    results.
+    run: longest common run of words; score: of the best local alignment; places count words that count. kind: passage, if a
+    window of WINDOW words is shared; else edited, if the score is at least EDITED of what the whole item would score; else
+    phrase. Items of fewer than SEED words have no pairs. Null and empty texts give nothing. Keys are taken as they are:
+    repeated rows give repeated results.
     """
-    return _aligned(corpus, key, text, items, item, item_text, False)
+    made = _aligned(corpus, key, text, items, item, item_text, False)
+    kind = F.when(F.col("run") >= WINDOW, "passage").when(F.col("score") >= EDITED * MATCH * F.col("words"), "edited").otherwise("phrase")
+    return made.withColumn("kind", kind).drop("words")
 
 
 def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str) -> DataFrame:

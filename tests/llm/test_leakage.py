@@ -102,3 +102,31 @@ def test_copies_edited_every_few_words_are_aligned(spark):
         got = {r.doc_id: r for r in L.alignments(spark.createDataFrame(some, DOC), "doc_id", "text", spark.createDataFrame([(5, " ".join(item))], ITEM), "item_id", "text").collect()}
         assert set(got) == {d for d, _ in some} - {5, 22}
         assert all(got[n].run == n - 1 and got[n].matches == 54 - 54 // n for n in (6, 9)) and got[21].matches == 5
+
+
+def test_recall_of_randomly_edited_copies(spark):
+    """Items of 10 to 60 words with 1 to 5 edits anywhere: every pair that shares five words in a row is found, and scored as
+    a comparison of all pairs scores it."""
+    rng = random.Random(11)
+    items = [(i, [f"i{i}w{rng.randrange(400)}" for _ in range(rng.randint(10, 60))]) for i in range(60)]
+    docs = []
+    for d in range(150):
+        i, words = rng.choice(items)
+        copy = list(words)
+        for _ in range(rng.randint(1, 5)):
+            at, how = rng.randrange(len(copy)), rng.random()
+            copy[at : at + 1] = [f"new{rng.random()}"] if how < 0.4 else [] if how < 0.7 else [copy[at], f"more{rng.random()}"]
+            copy = copy or ["x"]
+        docs.append((d, ["before"] * rng.randint(0, 5) + copy + ["after"] * rng.randint(0, 5)))
+    fives = lambda w: {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    want = {}
+    for i, a in items:
+        for d, b in docs:
+            if fives(a) & fives(b):
+                number = {w: n for n, w in enumerate(dict.fromkeys(a + b))}
+                want[i, d] = align_slowly([number[w] for w in a], [number[w] for w in b])
+    rows = L.alignments(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], DOC), "doc_id", "text", spark.createDataFrame([(i, " ".join(w)) for i, w in items], ITEM), "item_id", "text").collect()
+    assert {(r.item_id, r.doc_id): (r.score, r.run) for r in rows} == want and len(want) > 130
+    size = {i: len(w) for i, w in items}
+    assert all(r.kind == ("passage" if r.run >= 10 else "edited" if r.score >= size[r.item_id] else "phrase") for r in rows)
+    assert len({r.kind for r in rows}) == 3
