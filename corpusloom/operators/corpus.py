@@ -21,16 +21,17 @@ def blank_is_null(c: str) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+def record_problems(df: DataFrame) -> DataFrame:
+    """(rid, problem): records without group, source or bucket (incomplete), else of a split of another name (unknown split)."""
+    lacking = "coalesce(group_id, '') = '' or coalesce(source, '') = '' or coalesce(bucket, '') = ''"
+    problem = F.when(F.expr(lacking), "incomplete").when(~F.coalesce("split", F.lit("")).isin("", *SPLITS), "unknown split")
+    return df.select("rid", problem.alias("problem")).where("problem is not null")
+
+
 def check_records(df: DataFrame) -> None:
     """Raise on the first record, by rid, without group, source or bucket, or with a split of another name."""
-    bad = df.where(
-        "coalesce(group_id, '') = '' or coalesce(source, '') = '' or coalesce(bucket, '') = '' "
-        "or coalesce(split, '') not in ('', 'train', 'validation', 'test')"
-    )
-    for r in bad.orderBy("rid").limit(1).collect():
-        if not (r.group_id and r.source and r.bucket):
-            raise ValueError(f"record {r.rid} lacks a group, source or bucket")
-        raise ValueError(f"record {r.rid} has the unknown split {r.split!r}")
+    for r in record_problems(df).orderBy("rid").limit(1).collect():
+        raise ValueError(f"record {r.rid} lacks a group, source or bucket" if r.problem == "incomplete" else f"record {r.rid} has an unknown split")
 
 
 def split_problems(df: DataFrame, allowed: tuple[str, ...], split: str = "split") -> DataFrame:

@@ -120,23 +120,24 @@ def expansion_problems(prepared: DataFrame, reserved: DataFrame, reserve_source:
     return surface.unionByName(rows).unionByName(across.select(F.lit("group in several splits").alias("problem"), F.col("group_id").alias("what")))
 
 
-def pilot(pairs: DataFrame, pool: DataFrame, count: int, documents: int, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def pilot(pairs: DataFrame, pool: DataFrame, count: int, documents: int, seed: int = 17, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """Pairs and documents of a pilot: `count` pairs (id, group_id, query, document) that share no group and no canonical text,
     their documents, and others of the pool (id, group_id, text) with new canonical texts up to `documents`.
 
-    Raises if either number cannot be reached. Both orders are seeded shuffles.
+    strict raises if either number cannot be reached; otherwise what can be reached comes out. Both orders are seeded shuffles.
     """
     scratch = Scratch(pairs.sparkSession, "pilot")
     chosen = scratch.save(V.select_pairs(pairs.withColumn("source", F.lit("pilot")), {"pilot": count}, seed), "chosen")
-    if (n := chosen.count()) != count:
+    n = chosen.count()
+    if strict and n != count:
         raise ValueError(f"{n} disjoint pairs, not {count}")
     mine = chosen.select("id", "group_id", F.col("document").alias("text"), T.key(T.normalize("document")).alias("k"))
     others = pool.select("id", "group_id", "text", T.key(T.normalize("text")).alias("k")).where("k <> ''").join(mine.select("k"), "k", "left_anti")
     others = others.withColumn("o_", F.struct(R.shuffle_key("id", seed), "id"))
     others = others.groupBy("k").agg(F.min_by(F.struct("id", "group_id", "text"), "o_").alias("x"), F.min("o_").alias("o_"))
-    more = others.orderBy("o_").limit(documents - count).select("x.*")
+    more = others.orderBy("o_").limit(max(documents - n, 0)).select("x.*")
     docs = scratch.save(mine.drop("k").unionByName(more), "documents")
-    if (n := docs.count()) != documents:
+    if strict and (n := docs.count()) != documents:
         raise ValueError(f"{n} documents, not {documents}")
     return chosen, docs
 

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    for module in ("corpus", "tokenizer", "retrieval", "streams"):
+    for module in ("corpus", "tokenizer", "retrieval", "benchmark", "sources", "streams"):
         import_module(f"corpusloom.plans.{module}")
 
 

@@ -57,7 +57,7 @@ if __name__ == "__main__":
 
     from corpusloom.runtime import get_spark
 
-    spark = get_spark(cpus=8)
+    spark = get_spark(cpus=8, **{"spark.sql.shuffle.partitions": "4"})
     spark.sparkContext.setLogLevel("ERROR")
     sf, con, sql = sys.argv[1], connect(sys.argv[1]), entry.oracle_sql()
     for name, query in entry.queries().items():
