@@ -9,31 +9,33 @@ price on each change cuts it.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
 from corpusloom.llm.copies import FIELD_NAMES, field_patterns, fields
 from corpusloom.llm.lookalike import look
-from corpusloom.runtime import pick
+from corpusloom.runtime import pick, scratch_root
 
 LANGUAGES = ("bangla", "banglish", "english", "french", "hindi")
 #: Labelled texts that a fit reads for each language, chosen by hash; the only bounded sample here.
 SAMPLE = 1_500
-#: Distinct words of the sample that the network is trained on, the commonest first.
-TRAIN_WORDS = 12_000
-HIDDEN, STEPS, BATCH, RATE = 24, 1_600, 128, 1.5e-2
+#: Steps of a fit, and of the further one without wrongly labelled texts, which goes on from its weights.
+HIDDEN, STEPS, MORE_STEPS, BATCH, RATE = 24, 1_600, 400, 128, 1.5e-2
 #: A word's weight in training is its frequency to this power.
 POWER = 0.7
-#: Price of a change of language between two words, in nats; words of a part cut off by changes.
-CHANGE, PART = 7.0, 4
-#: Words are read up to this many bytes at a time; longer ones pool their pieces.
+#: Price of a change of language between two words, in nats.
+CHANGE = 7.0
+#: Words from which a part says that its language is of the text, one that changes cut off too. A whole sentence, line or field
+#: value of at least SHORT words says so as well if its confidence is SURE; single words never do beside longer parts.
+PART, SHORT, SURE = 4, 2, 0.98
+#: Words are read up to this many bytes at a time, in training as well; longer ones pool their pieces.
 BYTES = 96
 #: Log-probability below which a word says nothing more against a language.
 FLOOR = -3.5
@@ -102,7 +104,7 @@ class Network:
         h = HIDDEN
         for d, kept, dout in (("f", kf, dboth[:, :, :h]), ("b", kb, dboth[:, :, h:])):
             u = self.w[f"u{d}"]
-            gx, gu, back = np.zeros_like(self.w[f"x{d}"]), np.zeros_like(u), np.zeros_like(dout[0])
+            gx, gu, back, rows = np.zeros_like(self.w[f"x{d}"]), np.zeros_like(u), np.zeros_like(dout[0]), []
             for t, state, z, reset, new, rn in reversed(kept):
                 m = mask[:, t : t + 1]
                 total = back + dout[t]
@@ -110,9 +112,14 @@ class Network:
                 dz = -total * m * (new - state) * z * (1 - z)
                 dr = dnew * rn * reset * (1 - reset)
                 drec = np.concatenate([dz, dr, dnew * reset], axis=1)
-                np.add.at(gx, ids[:, t], np.concatenate([dz, dr, dnew], axis=1))
+                rows.append(np.concatenate([dz, dr, dnew], axis=1))
                 gu += state.T @ drec
                 back = total * (1 - m * (1 - z)) + drec @ u.T
+            # sums by byte, in the order of the bytes
+            at = ids[:, [t for t, *_ in reversed(kept)]].T.ravel()
+            order = np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) > 0]))
+            gx[at[order][first]] = np.add.reduceat(np.concatenate(rows)[order], first)
             g[f"x{d}"], g[f"u{d}"] = gx, gu
         return g, loss
 
@@ -187,17 +194,7 @@ def parts_of(text: str, starts: re.Pattern, names: tuple[str, ...] = FIELD_NAMES
     out: list[str] = []
     for v in [text] if values is None else [v for _, v in values]:
         for sentence in _ends.split(v):
-            if "\n" not in sentence and "\r" not in sentence:
-                out.append(sentence)
-                continue
-            # a line too short to stand alone belongs to the sentence around it
-            lines = [""]
-            for line in _lines.split(sentence):
-                if len(_word.findall(lines[-1])) >= PART <= len(_word.findall(line)):
-                    lines.append(line)
-                else:
-                    lines[-1] += "\n" + line
-            out += lines
+            out += _lines.split(sentence)
     return out
 
 
@@ -209,8 +206,8 @@ class Reader:
         self.known: dict[str, int] = {}
         self.level = np.zeros((1024, len(network.languages)), np.float32)
 
-    def read(self, column: pa.Array) -> list[list[tuple[str, int, float, int]]]:
-        """Of each text the parts with words: (part, language, confidence, words)."""
+    def read(self, column: pa.Array) -> list[list[tuple[str, int, float, int, bool]]]:
+        """Of each text the parts with words: (part, language, confidence, words, whether it is a whole sentence, line or value)."""
         k = len(self.network.languages)
         if len(self.known) > WORDS:
             self.known.clear()
@@ -242,12 +239,12 @@ class Reader:
                 if gain[i] > CHANGE and sizes[i] >= 2 * PART:
                     made += self._cut(p, words, scores[starts[i] : starts[i] + sizes[i]], k)
                 else:
-                    made.append((p.strip(), int(best[i]), float(sure[i]), int(sizes[i])))
+                    made.append((p.strip(), int(best[i]), float(sure[i]), int(sizes[i]), True))
                 i += 1
             out.append(made)
         return out
 
-    def _cut(self, part: str, words: list[str], scores: np.ndarray, k: int) -> list[tuple[str, int, float, int]]:
+    def _cut(self, part: str, words: list[str], scores: np.ndarray, k: int) -> list[tuple[str, int, float, int, bool]]:
         total, back = scores[0].copy(), []
         for s in scores[1:]:
             top = int(total.argmax())
@@ -264,7 +261,7 @@ class Reader:
         for a, b in zip(spans, spans[1:]):
             s = scores[a:b].sum(axis=0)
             sure = 1 / np.exp((s - s.max()) / (b - a) ** 0.5).sum()
-            out.append((part[at[a] : at[b]].strip(), path[a], float(sure), b - a))
+            out.append((part[at[a] : at[b]].strip(), path[a], float(sure), b - a, len(spans) == 2))
         return out
 
 
@@ -280,7 +277,7 @@ def training_words(texts: list[tuple[str, str]], languages: tuple[str, ...]) ->
                 if w not in count:
                     count[w] = np.zeros(len(languages))
                 count[w][k] += 1
-    words = sorted(count, key=lambda w: (-count[w].sum(), w))[:TRAIN_WORDS]
+    words = sorted(count, key=lambda w: (-count[w].sum(), w))
     number = np.array([count[w] for w in words]).reshape(len(words), len(languages))
     mass = number.sum(axis=0)
     # each language has the same mass, so that one with few texts is not read as its likest neighbour
@@ -288,24 +285,30 @@ def training_words(texts: list[tuple[str, str]], languages: tuple[str, ...]) ->
     return words, (even / even.sum(axis=1, keepdims=True)).astype(np.float32), (even.sum(axis=1) ** POWER).astype(np.float32)
 
 
-def train(texts: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES, seed: int = 17) -> Network:
-    """A network fitted to (text, language) pairs with Adam; the same pairs give the same network."""
+def train(texts: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES, seed: int = 17, start: Network | None = None, steps: int = STEPS) -> Network:
+    """A network fitted to (text, language) pairs with Adam, from `start` if it is given; the same pairs give the same network.
+
+    All distinct words are trained on, whole: of words above BYTES bytes every piece, each with its part of the weight.
+    """
     words, target, weight = training_words(texts, languages)
-    network, rng = Network.new(languages, seed), np.random.default_rng(seed)
+    network, rng = Network.new(languages, seed) if start is None else Network({k: x.copy() for k, x in start.w.items()}, languages), np.random.default_rng(seed)
     if not words:
         return network
     m = {k: np.zeros_like(v) for k, v in network.w.items()}
     v = {k: np.zeros_like(x) for k, x in network.w.items()}
-    pieces = [w.encode()[:BYTES] for w in words]
-    order, step = np.argsort([len(p) for p in pieces], kind="stable"), 0
+    parts = [[b[j : j + BYTES] for j in range(0, len(b), BYTES)] for b in (w.encode() for w in words)]
+    of = np.repeat(np.arange(len(words)), [len(p) for p in parts])
+    pieces = [x for p in parts for x in p]
+    target, weight = target[of], weight[of] / np.array([len(p) for p in parts], np.float32)[of]
+    order = np.argsort([len(p) for p in pieces], kind="stable")
     groups = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
     share = np.array([weight[x].sum() for x in groups])
-    for i in rng.choice(len(groups), STEPS, p=0.5 / len(groups) + 0.5 * share / share.sum()):
+    top = RATE if start is None else RATE / 3
+    for step, i in enumerate(rng.choice(len(groups), steps, p=0.5 / len(groups) + 0.5 * share / share.sum()), 1):
         some = groups[i]
         ids, mask = batch([pieces[j] for j in some])
         g, _ = network.gradients(ids, mask, target[some], weight[some])
-        step += 1
-        rate = RATE * (0.5 + 0.5 * np.cos(np.pi * step / STEPS))
+        rate = top * (0.5 + 0.5 * np.cos(np.pi * step / steps))
         for k, x in g.items():
             m[k] += 0.1 * (x - m[k])
             v[k] += 0.01 * (x * x - v[k])
@@ -316,26 +319,44 @@ def train(texts: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES,
 def fit(labelled: DataFrame, text: str, language: str, languages: tuple[str, ...] = LANGUAGES, seed: int = 17) -> Network:
     """Train on SAMPLE labelled rows of each language, those of least hash; rows of null text or other labels are not read.
 
-    A language without any labelled row is hardly ever given; without rows at all the network stays as it was drawn.
+    A language without any labelled row is hardly ever given; without rows at all the network stays as it was drawn. Weights
+    are kept in the shared folder under a hash of the sample and all parameters, so that a session fits them once.
     """
-    rows = pick(labelled, t=text, l=language).select("t", F.lower(F.trim("l")).alias("l")).where("t is not null")
-    texts: list[tuple[str, str]] = []
-    for x in languages:
-        some = rows.where(F.col("l") == x).select("t", F.xxhash64(F.lit(seed), "t").alias("h")).orderBy("h", "t").limit(SAMPLE)
-        texts += [(r.t, x) for r in some.collect()]
-    first = train(texts, languages, seed)
-    # labels can be wrong: texts that the first network reads as another language altogether are left out of a second fit
-    read = Reader(first).read(pa.array([t for t, _ in texts], pa.string()))
-    kept = [x for x, parts in zip(texts, read) if not parts or any(first.languages[p[1]] == x[1] for p in parts)]
-    return first if len(kept) == len(texts) else train(kept, languages, seed)
+    rows = pick(labelled, t=text, l=language).select("t", F.lower(F.trim("l")).alias("l")).where("t is not null").where(F.col("l").isin(*languages))
+    best = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64(F.lit(seed), "t"), "t"))  # cut to SAMPLE before the shuffle
+    texts = [(r.t, r.l) for r in rows.withColumn("n", best).where(F.col("n") <= SAMPLE).orderBy("l", "n").collect()]
+    texts.sort(key=lambda x: languages.index(x[1]))
+    name = hashlib.sha256(repr((texts, languages, seed, HIDDEN, STEPS, MORE_STEPS, BATCH, RATE, POWER, BYTES, FLOOR)).encode()).hexdigest()[:24]
+    path = f"{scratch_root(labelled.sparkSession)}/corpusloom/language-{name}"
+    if kept := _kept(labelled.sparkSession, path, languages):
+        return kept
+    network = train(texts, languages, seed)
+    # labels can be wrong: texts that the network reads as another language altogether are left out when it is fitted further
+    read = Reader(network).read(pa.array([t for t, _ in texts], pa.string()))
+    right = [x for x, parts in zip(texts, read) if not parts or any(languages[p[1]] == x[1] for p in parts)]
+    if len(right) < len(texts):
+        network = train(right, languages, seed, network, MORE_STEPS)
+    rows = [(k, list(x.shape), x.tobytes()) for k, x in sorted(network.w.items())]
+    labelled.sparkSession.createDataFrame(rows, "name string, shape array<int>, weights binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return network
+
+
+def _kept(spark: SparkSession, path: str, languages: tuple[str, ...]) -> Network | None:
+    """The network written under a path, if it was written to the end."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        return None
+    rows = spark.read.schema("name string, shape array<int>, weights binary").parquet(path).collect()  # a few kilobytes
+    return Network({r.name: np.frombuffer(bytes(r.weights), np.float32).reshape(r.shape).copy() for r in rows}, languages)
 
 
 def languages_of(df: DataFrame, key: str, text: str, network: Network, names: tuple[str, ...] = FIELD_NAMES, least: int = PART) -> DataFrame:
     """(key, languages, lang, confidence, segments) of every row.
 
-    segments: text, lang, confidence, words of each sentence, line or field value. languages: those of segments with at least
-    `least` words, or of the longest segment if none has as many, sorted. lang: the only one, or code-mixed; confidence: the
-    mean of the segments' weighted by words. A text without letters, empty or null has no segments, no languages and null lang.
+    segments: text, lang, confidence, words of each sentence, line or field value, or the parts of one that change language.
+    languages: those of segments with at least `least` words, and of whole ones with SHORT words or more that are SURE, or of
+    the longest segment if none has `least` words, sorted. lang: the only one, or code-mixed; confidence: the mean of the
+    segments' weighted by words. A text without letters, empty or null has no segments, no languages and null lang.
     Repeated rows come out repeatedly; whole texts are read, whatever their length. Equal scores go to the first language.
     """
     rows = pick(df, k=key, t=text)
@@ -351,7 +372,7 @@ def languages_of(df: DataFrame, key: str, text: str, network: Network, names: tu
             langs, one, sure, segments = [], [], [], []
             for parts in state["reader"].read(b.column(1)):
                 longest = max((p[3] for p in parts), default=0)
-                found = sorted({called[p[1]] for p in parts if p[3] >= min(least, longest)})
+                found = sorted({called[p[1]] for p in parts if p[3] >= min(least, longest) or p[4] and p[3] >= SHORT and p[2] >= SURE})
                 langs.append(found)
                 one.append(None if not found else found[0] if len(found) == 1 else "code-mixed")
                 words = sum(p[3] for p in parts)
