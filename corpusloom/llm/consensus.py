@@ -7,19 +7,31 @@ The state between rounds is one row per annotator and grade, written to the shar
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import Scratch, pick, sized_join
+from corpusloom.runtime import Scratch, fits_broadcast, pick
 
 #: Pseudo-counts: of a matrix row on its own grade and elsewhere, and of each class.
 RIGHT, WRONG, CLASS = 2.0, 0.7, 1.0
-ROUNDS, CHANGE = 25, 2e-4
-#: Name under which the original grade takes part.
-ORIGINAL = "\x01original"
+#: Part of the votes whose change of class ends the fit, and rounds after which it ends with a warning.
+CHANGE, ROUNDS = 1e-4, 200
+#: Votes of one item above which its sums are not made in one task.
+HOT = 100_000
+#: Names under which the original grade and the class proportions take part.
+ORIGINAL, CLASSES = "\x01original", "\x02classes"
+
+
+def _digamma(x: str) -> str:
+    """SQL of digamma(): one string is parsed at once, where columns would be put together call by call."""
+    back = " + ".join(f"1 / ({x} + {i})" for i in range(6))
+    y = f"({x} + 6)"
+    z = f"(1 / ({y} * {y}))"
+    return f"(ln{y} - 0.5D / {y} - {z} * (1 / 12D - {z} * (1 / 120D - {z} * (1 / 252D - {z} / 240D))) - ({back}))"
 
 
 def digamma(x: Column) -> Column:
@@ -52,51 +64,96 @@ def latest_grades(df: DataFrame, item: list[str], annotator: str, grade: str, at
     return out.where("grade is not null")
 
 
+def agreement(votes: DataFrame, item: list[str], grades: list[int]) -> DataFrame:
+    """(items, votes, alpha): Krippendorff's nominal alpha over items of two votes or more; null if there is one grade only.
+
+    votes: (item columns, annotator, grade), no repeats. It is a matter of counts; no model is fitted.
+    """
+    n = [f"n{j}" for j in range(len(grades))]
+    counts = [F.sum((F.col("grade") == g).cast("long")).alias(c) for g, c in zip(grades, n)]
+    per = votes.where(F.col("grade").isin(grades)).groupBy(*item).agg(*counts, F.count("*").alias("m")).where("m > 1")
+    apart = reduce(lambda x, y: x + y, [F.col(c) * (F.col("m") - F.col(c)) for c in n]) / (F.col("m") - 1)
+    total = per.agg(F.count("*").alias("items"), F.sum("m").alias("votes"), F.sum(apart).alias("seen"), *[F.sum(c).alias(c) for c in n])
+    chance = reduce(lambda x, y: x + y, [F.col(c) * (F.col("votes") - F.col(c)) for c in n]) / (F.col("votes") - 1)
+    return total.select("items", F.coalesce("votes", F.lit(0)).alias("votes"), F.when(chance > 0, 1 - F.col("seen") / chance).alias("alpha"))
+
+
 class Consensus:
-    """The fitted model; items, annotators and agreement() read it. votes: (item columns, annotator, grade), no repeats."""
+    """The fitted model; items, annotators and agreement() read it. votes: (item columns, annotator, grade), no repeats.
+
+    Class proportions take part as one more annotator, CLASSES, with a vote on every item, so that a round is one pass: the
+    weights of each vote summed by item, posteriors from these, and their sums by annotator and grade. rounds and moved say how
+    many rounds were gone through and which part of the votes changed its class in the last one; converged, whether it was less
+    than CHANGE.
+    """
 
-    def __init__(self, votes: DataFrame, item: list[str], grades: list[int], scratch: Scratch):
+    def __init__(self, votes: DataFrame, item: list[str], grades: list[int], scratch: Scratch, hot: int = HOT, rounds: int = ROUNDS):
         self.item, self.grades, self.scratch = item, grades, scratch
-        q = [f"q{j}" for j in range(len(grades))]
-        votes = votes.where(F.col("grade").isin(grades)).select(*item, "annotator", "grade")
-        # kept partitioned by item: joins and sums by item move nothing from here on; lost blocks are read again
-        self.votes = scratch.save(votes, "votes").repartition(*item).persist(StorageLevel.MEMORY_AND_DISK)
-        share = [F.avg((F.col("grade") == g).cast("double")).alias(c) for g, c in zip(grades, q)]
-        posterior = self.votes.groupBy(*item).agg(*share)
-        before = None
-        for _ in range(ROUNDS):
-            mass = self.votes.join(posterior, item).groupBy("annotator", "grade").agg(*[F.sum(c).alias(c) for c in q], F.count("*").alias("n"))
-            mass = scratch.save(mass, "mass")
-            classes = posterior.agg(*[F.sum(c).alias(c) for c in q]).first()
-            if classes[0] is None:
-                break
-            total = sum(classes)
-            posterior = self._posterior(mass, [c or 0.0 for c in classes], q)
-            now = [c / total for c in classes]
-            if before and max(abs(a - b) for a, b in zip(now, before)) < CHANGE:
-                break
-            before = now
+        self.q, k = [f"q{j}" for j in range(len(grades))], len(grades)
+        votes = votes.where(F.col("grade").isin(grades)).select(*item, "annotator", F.col("grade").cast("int").alias("grade"))
+        self.votes = scratch.save(votes, "votes")
+        most = self.votes.groupBy(*item).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        whole = self.votes.unionByName(self.votes.select(*item).distinct().select(*item, F.lit(CLASSES).alias("annotator"), F.lit(-1).alias("grade")))
+        # kept partitioned by item, rounds move votes no more, and lost blocks are read again; with an item too large for one
+        # task, sums by item are made map-side and joined back, its rows split by AQE
+        self.hot = most > hot
+        if not self.hot:
+            whole = whole.repartition(*item).sortWithinPartitions(*item).persist(StorageLevel.MEMORY_AND_DISK)
+        own = F.when(F.col("annotator") == CLASSES, 0.0)
+        ones = [own.otherwise((F.col("grade") == g).cast("double")).alias(f"l{j}") for j, g in enumerate(grades)]
+        summed = self._summed(whole.select(*item, "annotator", "grade", *ones))
+        all_ = reduce(lambda x, y: x + y, [F.col(f"s{j}") for j in range(k)])
+        level = scratch.save(self._level(summed.select(*item, "annotator", "grade", *[(F.col(f"s{j}") / all_).alias(c) for j, c in enumerate(self.q)]), None), "level")
+        small = fits_broadcast(level)
+        self.rounds, self.moved, self.converged = 0, 1.0, most == 0
+        while self.rounds < rounds and not self.converged:
+            posterior = self._posterior(whole, level, small)
+            level = scratch.save(self._level(posterior, level, small), "level")
+            found = level.where(F.col("annotator") != CLASSES).agg(F.sum("moved").alias("moved"), F.sum("n").alias("n")).first()
+            self.rounds += 1
+            self.moved = found.moved / found.n / 2
+            self.converged = self.moved < CHANGE
+        posterior = self._posterior(whole, level, small).where(F.col("annotator") == CLASSES).select(*item, *self.q)
         self.posterior = scratch.save(posterior, "posterior")
-        self.votes.unpersist()
-        self.votes = scratch.spark.read.schema(votes.schema).parquet(scratch.paths["votes"])
-        self.q = q
-
-    def _posterior(self, mass: DataFrame, classes: list[float], q: list[str]) -> DataFrame:
-        k = len(q)
-        rows = mass.groupBy("annotator").agg(*[F.sum(c).alias(f"t{c}") for c in q])
-        level = sized_join(mass, self.scratch.save(rows, "rows"), ["annotator"])
-        prior = lambda j: F.when(F.col("grade") == self.grades[j], RIGHT).otherwise(WRONG)
-        logs = [(digamma(F.col(c) + prior(j)) - digamma(F.col(f"t{c}") + RIGHT + (k - 1) * WRONG)).alias(f"l{j}") for j, c in enumerate(q)]
-        level = self.scratch.save(level.select("annotator", "grade", *logs), "level")
-        summed = sized_join(self.votes, level, ["annotator", "grade"]).groupBy(*self.item).agg(*[F.sum(f"l{j}").alias(f"l{j}") for j in range(k)])
-        # the class term is the same for all items: taken in the driver from k numbers
-        own = self.scratch.spark.range(1).select(*[digamma(F.lit(c + CLASS)).alias(f"c{j}") for j, c in enumerate(classes)]).first()
-        for j in range(k):
-            summed = summed.withColumn(f"l{j}", F.col(f"l{j}") + F.lit(own[j]))
-        top = F.greatest(*[F.col(f"l{j}") for j in range(k)]) if k > 1 else F.col("l0")
-        weights = [F.exp(F.col(f"l{j}") - top) for j in range(k)]
-        whole = reduce(lambda a, b: a + b, weights)
-        return summed.select(*self.item, *[(w / whole).alias(c) for w, c in zip(weights, q)])
+        whole.unpersist()
+        if not self.converged:
+            warnings.warn(f"after {rounds} rounds {self.moved:.2g} of the votes still change their class", stacklevel=2)
+
+    def _summed(self, rows: DataFrame) -> DataFrame:
+        """rows with s0, s1, ...: the sums of l0, l1, ... over each item."""
+        k = len(self.grades)
+        if not self.hot:
+            every = Window.partitionBy(*self.item)
+            return rows.select("*", *[F.sum(f"l{j}").over(every).alias(f"s{j}") for j in range(k)])
+        return rows.join(rows.groupBy(*self.item).agg(*[F.sum(f"l{j}").alias(f"s{j}") for j in range(k)]), self.item)
+
+    def _posterior(self, whole: DataFrame, level: DataFrame, small: bool) -> DataFrame:
+        """Every vote with the posterior of its item."""
+        k, names = len(self.grades), ["annotator", "grade", *[f"l{j}" for j in range(len(self.grades))]]
+        known = F.broadcast(level.select(*names)) if small else level.select(*names)
+        summed = self._summed(whole.join(known, ["annotator", "grade"]))
+        top = F.greatest(*[F.col(f"s{j}") for j in range(k)]) if k > 1 else F.col("s0")
+        weights = [F.exp(F.col(f"s{j}") - top) for j in range(k)]
+        total = reduce(lambda a, b: a + b, weights)
+        return summed.select(*self.item, "annotator", "grade", *[(w / total).alias(c) for w, c in zip(weights, self.q)])
+
+    def _level(self, posterior: DataFrame, before: DataFrame | None, small: bool = True) -> DataFrame:
+        """(annotator, grade, l, m, n, moved): the weight of such a vote for each class, the mass it follows from, and by how
+        much this differs from that of the round before."""
+        k = len(self.grades)
+        mass = posterior.groupBy("annotator", "grade").agg(*[F.sum(c).alias(f"m{j}") for j, c in enumerate(self.q)], F.count("*").alias("n"))
+        mass = mass.selectExpr("*", *[f"sum(m{j}) over (partition by annotator) as t{j}" for j in range(k)])
+        logs = []
+        for j, g in enumerate(self.grades):
+            prior = f"(m{j} + if(grade = {g}, {RIGHT}D, {WRONG}D))"
+            of = f"{_digamma(prior)} - {_digamma(f'(t{j} + {RIGHT + (k - 1) * WRONG}D)')}"
+            logs.append(f"if(annotator = '{CLASSES}', {_digamma(f'(m{j} + {CLASS}D)')}, {of}) as l{j}")
+        level = mass.selectExpr("annotator", "grade", *logs, *[f"m{j}" for j in range(k)], "n")
+        if before is None:
+            return level.withColumn("moved", F.lit(1.0))
+        old = before.select("annotator", "grade", *[F.col(f"m{j}").alias(f"o{j}") for j in range(k)])
+        moved = reduce(lambda a, b: a + b, [F.abs(F.col(f"m{j}") - F.col(f"o{j}")) for j in range(k)])
+        return level.join(F.broadcast(old) if small else old, ["annotator", "grade"]).select(*level.columns, moved.alias("moved"))
 
     def items(self) -> DataFrame:
         """(item columns, grade, probability, votes, agreement): the likeliest grade, of equally likely ones the least.
@@ -123,14 +180,8 @@ class Consensus:
         return sums.select("annotator", "items", (F.col("items") - F.col("right")).alias("wrong"), (a / (a + b)).alias("reliability"), logistic(middle - wide).alias("low"), logistic(middle + wide).alias("high"))
 
     def agreement(self) -> DataFrame:
-        """(items, votes, alpha): Krippendorff's nominal alpha over items of two votes or more; null if there is one grade only."""
-        n = [f"n{j}" for j in range(len(self.grades))]
-        counts = [F.sum((F.col("grade") == g).cast("long")).alias(c) for g, c in zip(self.grades, n)]
-        per = self.votes.groupBy(*self.item).agg(*counts, F.count("*").alias("m")).where("m > 1")
-        apart = reduce(lambda x, y: x + y, [F.col(c) * (F.col("m") - F.col(c)) for c in n]) / (F.col("m") - 1)
-        total = per.agg(F.count("*").alias("items"), F.sum("m").alias("votes"), F.sum(apart).alias("seen"), *[F.sum(c).alias(c) for c in n])
-        chance = reduce(lambda x, y: x + y, [F.col(c) * (F.col("votes") - F.col(c)) for c in n]) / (F.col("votes") - 1)
-        return total.select("items", F.coalesce("votes", F.lit(0)).alias("votes"), F.when(chance > 0, 1 - F.col("seen") / chance).alias("alpha"))
+        """agreement() of the votes."""
+        return agreement(self.votes, self.item, self.grades)
 
 
 def fit(df: DataFrame, item: list[str], annotator: str, grade: str, at: str, original: str | None = None, grades: tuple[int, ...] = (0, 1, 2)) -> Consensus:
