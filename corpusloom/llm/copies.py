@@ -3,14 +3,18 @@
 Two texts are copies if they have the same letters, combining marks and digits in the same order; letter case, blanks,
 punctuation, symbols and invisible characters do not count, and canonically equivalent characters are the same. Texts made
 of named fields are copies if the same names hold copies, in any order and notation (JSON, ``name: value``, ``name=value``).
+A JSON object of texts may have any names; in the other notations, which prose can look like, names must be known ones.
 
 Stage 1 gives every text two cheap invariants of this relation, its stripped length and a hash of its letter histogram,
-from numpy tables without per-row string calls. Classes of one member are done. Stage 2 makes the costly key (parsing,
-decomposition, ordered letters) only for members of larger classes and splits these by it.
+from numpy tables without per-row string calls. Only these are shuffled, folded to counts. Classes of one member are done.
+The others are put into a Bloom filter of bounded size. Stage 2 reads the texts again and makes the costly key (parsing,
+decomposition, ordered letters) only for those the filter lets through, members of larger classes but for a few that it
+mistakes, which have no copy and so form no class. Texts themselves are never shuffled.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
@@ -32,7 +36,7 @@ FIELD_NAMES = ("bn", "bl", "en", "title", "body", "note")
 def field_patterns(names: tuple[str, ...]) -> tuple[str, re.Pattern]:
     """A pattern for texts that begin with a field, and one for every place where a field begins."""
     name = "|".join(map(re.escape, names))
-    begins = rf"^[\s\x{{feff}}\x{{200b}}]*\{{?\s*[\"']?(?i:{name})[\"']?\s*[:=]"
+    begins = rf"^[\s\x{{feff}}\x{{200b}}]*(?:\{{\s*\"|\{{?\s*[\"']?(?i:{name})[\"']?\s*[:=])"
     return begins, re.compile(rf"(?i)(?:^[\s﻿​]*|[{{,;|\n])\s*[\"']?({name})[\"']?\s*[:=]")
 
 
@@ -41,7 +45,7 @@ def fields(text: str, names: tuple[str, ...], starts: re.Pattern) -> list[tuple[
     if text.lstrip("﻿​ \t\r\n").startswith("{"):
         try:
             made = json.loads(text.strip("﻿​ \t\r\n"), object_pairs_hook=list)
-            if made and all(isinstance(v, str) and k.strip().lower() in names for k, v in made):
+            if made and isinstance(made, list) and all(isinstance(x, tuple) and isinstance(x[1], str) for x in made):
                 return [(k.strip().lower(), v) for k, v in made]
         except (ValueError, TypeError, AttributeError):
             pass
@@ -117,33 +121,68 @@ def exact_key(text: str, names: tuple[str, ...] = FIELD_NAMES) -> str:
     return "\x02" + "\x01".join(sorted(f"{k}\x03{_letters(v)}" for k, v in parts))
 
 
-def copy_classes(df: DataFrame, key: str, text: str, scratch: Scratch, names: tuple[str, ...] = FIELD_NAMES) -> DataFrame:
-    """(key, class): one row for each text that has a letter or digit and at least one copy; class is the 16-byte key.
+#: Bits of the largest filter (16 MB), bits for each class, hashes.
+FILTER, ROOM, HASHES = 1 << 27, 16, 4
 
-    Null, empty and signless texts are left out; keys must be unique; repeated rows count as copies. Other columns are not
-    read, so clashing names in them do no harm. An empty table gives no rows.
+
+def _mixed(n: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """One number for both invariants of each text."""
+    x = h.view(np.uint64) ^ (n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return ((x ^ x >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
+def bloom(hashes: DataFrame, c: str, bits: int) -> np.ndarray:
+    """A Bloom filter, as 64-bit words, of a column of well-mixed numbers; bits is a power of two. Made by an aggregate with at
+    most bits / 64 rows, which is what the driver gets."""
+    low, high = F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(c, 32)
+    places = F.explode(F.array(*[(low + i * high).bitwiseAND(F.lit(bits - 1)) for i in range(HASHES)]))
+    words = hashes.select(places.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    return out.view(np.uint64)
+
+
+def may_hold(words: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which numbers the filter may hold; never False for one it was made of."""
+    x, found = x.view(np.uint64), np.ones(len(x), bool)
+    low, high, mask = x & np.uint64(0xFFFFFFFF), x >> np.uint64(32), np.uint64(len(words) * 64 - 1)
+    for i in range(HASHES):
+        p = low + np.uint64(i) * high & mask
+        found &= (words[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return found
+
+
+def copy_classes(df: DataFrame, key: str, text: str, scratch: Scratch, names: tuple[str, ...] = FIELD_NAMES, most: int = FILTER) -> DataFrame:
+    """(key, class): one row for each text that has a letter or digit and may have a copy; class is the 16-byte key.
+
+    Every text with a copy is there. Null, empty and signless texts are left out; repeated rows count as copies. Other columns
+    are not read, so clashing names in them do no harm. An empty table gives no rows.
     """
-    rows = pick(df, k=key, t=text)
+    rows = pick(df, k=key, t=text).where("t is not null")
     kind = rows.schema["k"].dataType.simpleString()
 
     def cheap(batches):
         for b in batches:
-            n, h = invariants(b.column(1), names)
-            mask = n > 0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(h)], ["k", "n", "h"]).filter(pa.array(mask))
+            n, h = invariants(b.column(0), names)
+            g, c = np.unique(_mixed(n, h)[n > 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c)], ["g", "c"])
 
-    first = scratch.save(rows.where("t is not null").mapInArrow(cheap, f"k {kind}, n bigint, h bigint"), "invariants")
-    # hot classes are folded before the shuffle; what is joined afterwards are single keys, which are never skewed
-    alone = first.groupBy("n", "h").agg(F.count("*").alias("c"), F.min("k").alias("k")).where("c = 1").select("k")
-    several = first.select("k").join(alone, "k", "left_anti")
+    # hot classes are folded before the shuffle, in each batch and by the aggregate
+    several = rows.select("t").mapInArrow(cheap, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c")).where("c > 1").select("g")
+    several = scratch.save(several, "several")
+    bits = 1 << max(10, min(most.bit_length() - 1, (several.count() * ROOM).bit_length()))
+    held = bloom(several, "g", bits)
+    sent = df.sparkSession.sparkContext.broadcast(held)  # at most FILTER bits
 
     def costly(batches):
         for b in batches:
-            made = pa.array([exact_key(t, names) for t in b.column(1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), made], ["k", "t"])
+            n, h = invariants(b.column(1), names)
+            some = pa.array((n > 0) & may_hold(sent.value, _mixed(n, h)))
+            b = b.filter(some)
+            made = [hashlib.md5(exact_key(t, names).encode("utf-8", "surrogatepass")).digest() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["k", "class"])
 
-    keyed = rows.where("t is not null").join(several, "k", "left_semi").mapInArrow(costly, f"k {kind}, t string")
-    return keyed.select("k", F.unhex(F.md5("t")).alias("class"))
+    return rows.mapInArrow(costly, f"k {kind}, class binary")
 
 
 def copies(df: DataFrame, key: str, text: str, scratch: Scratch, names: tuple[str, ...] = FIELD_NAMES) -> tuple[DataFrame, DataFrame]:

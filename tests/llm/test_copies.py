@@ -1,9 +1,11 @@
 import random
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 
 from corpusloom.llm import copies as C
+from corpusloom.runtime import Scratch
 
 SCHEMA = "rid bigint, text string"
 
@@ -58,3 +60,20 @@ def test_defined_for_odd_tables(spark):
     long = "word " * 100_000
     clash = spark.createDataFrame([(1, long, 0, "x", "y"), (2, long.upper(), 0, "x", "y")], "rid bigint, text string, k int, n string, class string")
     assert [tuple(r) for r in C.copy_pairs(clash, "rid", "text").collect()] == [(1, 2)]
+
+
+def test_a_crowded_filter_only_costs_work(spark):
+    """With a filter far too small every text may pass; the pairs are the same."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice(("A b", "a-b!", "", None, "x")) if i % 3 else f"text {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "rid bigint, text string")
+    classes = lambda most: {r.k: bytes(r["class"]) for r in C.copy_classes(df, "rid", "text", Scratch(spark, "t"), most=most).collect()}
+    wide, narrow = classes(C.FILTER), classes(1 << 10)
+    assert wide.items() <= narrow.items() and len(wide) < len(narrow)
+    number = Counter(narrow.values())
+    assert {k for k, c in wide.items() if number[c] > 1} == {k for k, c in narrow.items() if number[c] > 1} == {i for i, t in rows if t in ("A b", "a-b!", "x")}
+
+
+def test_any_names_in_json(spark):
+    rows = [(1, '{"name": "Ami", "city": "Dhaka"}'), (2, '{ "city":"dhaka", "name" : "ami" }'), (3, '{"name": "Dhaka", "city": "Ami"}'), (4, '{"n": 1}'), (5, "{"), (6, '{"a": ["x"]}')]
+    assert [tuple(r) for r in C.copy_pairs(spark.createDataFrame(rows, "rid bigint, text string"), "rid", "text").collect()] == [(1, 2)]
