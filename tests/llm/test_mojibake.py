@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from corpusloom.llm import mojibake as M
 
 SCHEMA = "doc_id bigint, source string, text string"
@@ -64,3 +66,43 @@ def test_long_text(spark):
     rows = [r for r in rows if r[0] % 5] + [(999, "s0", text + garble("তুমি কেমন", "cp1252"))]
     got = M.repairs(spark.createDataFrame(rows, SCHEMA), "doc_id", "source", ["text"]).collect()
     assert [r.doc_id for r in got] == [999] and got[0].repaired == text + "তুমি কেমন"
+
+
+RUSSIAN = ["привет, как твои дела сегодня", "мы пойдём завтра вместе гулять", "хорошая погода стоит здесь летом", "он читает интересную книгу вечером", "спасибо большое за помощь друзья"]
+
+
+@pytest.mark.parametrize("read, written, least", [("latin-1", "cp1251", 0.8), ("cp1251", "koi8_r", 0.85), ("koi8_r", "cp1251", 0.85), ("cp866", "cp1251", 0.1)])
+def test_single_byte_to_single_byte(spark, read, written, least):
+    """Damaged texts are found, hardly any other is touched, and most of their words are restored; in cp866 many letters of
+    cp1251 look like lines and boxes, so that few words are letters throughout."""
+    rng, rows, truth = random.Random(7), [], {}
+    back = {b: c for c, b in M.to_byte(read).items()}
+    bad = {}
+    for i in range(300):
+        text = " ".join(rng.choices(RUSSIAN + CLEAN[1:5], k=3))
+        if i % 6 == 0:
+            text += " " + rng.choice(RUSSIAN)
+            truth[i] = text
+            text = " ".join("".join(back[M.to_byte(written)[c]] for c in w) if w.isalpha() and M._script(w[0]) == "CYRILLIC" and len(w) >= M.LETTERS else w for w in text.split(" "))
+            bad[i] = text
+        rows.append((i, f"s{i % 3}", text))
+    got = {r.doc_id: r for r in M.repairs(spark.createDataFrame(rows, SCHEMA), "doc_id", "source", ["text"]).collect()}
+    assert set(got) <= set(truth) and len(got) >= 0.95 * len(truth)
+    words = [(a, b, c) for i, t in truth.items() if i in got for a, b, c in zip(t.split(" "), bad[i].split(" "), got[i].repaired.split(" ")) if a != b]
+    assert sum(a == c for a, _, c in words) >= least * len(words)
+    assert all(any(f"{read}={written}" in c.split("|") for c in r.chains) for r in got.values())
+
+
+def test_clean_scripts_are_no_cases(spark):
+    greek = ["καλημέρα σε όλους εσάς", "ευχαριστώ πολύ για όλα", "πού πηγαίνεις σήμερα φίλε"]
+    arabic = ["السلام عليكم ورحمة الله", "شكرا جزيلا على المساعدة"]
+    rng = random.Random(8)
+    rows = [(i, f"s{i % 2}", " ".join(rng.choices(RUSSIAN + greek + arabic + CLEAN, k=4))) for i in range(300)]
+    assert M.repairs(spark.createDataFrame(rows, SCHEMA), "doc_id", "source", ["text"]).count() == 0
+
+
+def test_alike_chains_stand_together(spark):
+    rows, _ = corpus(5)
+    rows = [r for r in rows if r[0] % 5] + [(900 + i, "s0", "x " + garble("été", "latin-1")) for i in range(20)]
+    got = M.repairs(spark.createDataFrame(rows, SCHEMA), "doc_id", "source", ["text"]).collect()
+    assert len(got) == 20 and all("cp1252" in r.chains[0].split("|") and "latin-1" in r.chains[0].split("|") and r.evidence == "posterior" for r in got)
