@@ -15,9 +15,13 @@ from corpusloom.runtime import Scratch, sized_join
 PAIR = ["query_id", "document_id"]
 
 
-def packet(pool: DataFrame, queries: DataFrame, documents: DataFrame, calibration: int = 30, seed: int = 17) -> DataFrame:
+def packet(pool: DataFrame, queries: DataFrame, documents: DataFrame, calibration: int = 30, seed: int = 17, strict: bool = False) -> DataFrame:
     """The blinded pairs with their texts, empty fields for labels, and whether their group is among the `calibration` first in
-    a seeded shuffle. Pairs of unknown queries or documents are left out."""
+    a seeded shuffle. Pairs of unknown queries or documents are left out; strict raises for them."""
+    if strict:
+        for c, known in (("query_id", queries), ("document_id", documents)):
+            for r in pool.select(c).distinct().join(known.select(F.col("id").alias(c)), c, "left_anti").orderBy(c).limit(1).collect():
+                raise ValueError(f"the pool names the unknown {c} {r[0]}")
     q = queries.select(F.col("id").alias("query_id"), F.col("group_id"), F.col("text").alias("query"))
     d = documents.select(F.col("id").alias("document_id"), F.col("text").alias("document"))
     rows = pool.select(*PAIR).distinct().join(q, "query_id").join(d, "document_id")

@@ -175,6 +175,14 @@ def distribution(df: DataFrame, value: str, group: list[str] | None = None) -> D
     return df.groupBy(*(group or [])).agg(F.count("*").alias("n"), F.median(value).alias("p50"), tail(0.95).alias("p95"), tail(0.99).alias("p99"))
 
 
+def throughput(df: DataFrame, seconds: str, size: str, texts: str) -> DataFrame:
+    """df with mb_per_second, texts_per_second and us_per_text of measured work; raises unless all times are positive and finite."""
+    bad = F.col(seconds).isNull() | ~(F.col(seconds) > 0) | (F.col(seconds) == float("inf"))
+    if not df.where(bad).isEmpty():
+        raise ValueError("times must be positive and finite")
+    return df.withColumns({"mb_per_second": F.col(size) / 1e6 / F.col(seconds), "texts_per_second": F.col(texts) / F.col(seconds), "us_per_text": F.col(seconds) * 1e6 / F.col(texts)})
+
+
 def sparsemax(df: DataFrame, row: str, column: str, score: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(row, column, weight): each row's scores projected on the simplex; weights of 0 are kept.
 

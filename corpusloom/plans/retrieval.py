@@ -395,11 +395,19 @@ def ret_source_splits(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "business").groupBy("source_id").agg(F.countDistinct("split").alias("splits"), F.count("*").alias("intents"))
 
 
-@query("ret_workload", f"""with t as (select min(id) as id, t as text from (select id, {NORMAL} as t from queries) group by t) select id, array_to_string(list_slice(flatten([string_split(text, ' ') for i in range(128)]), 1, 128), ' ') as text from t""")
+@query("ret_workload", f"""with t as (select min(id) as id, t as text from (select id, {NORMAL} as t from queries where text is not null) where t <> '' group by t), o as (select * from t order by sha256('17:' || id), id limit 10000)
+  select id, n::int as n, array_to_string(list_slice(flatten([string_split(text, ' ') for i in range(n)]), 1, n), ' ') as text from o, (values (128), (512)) as z(n)""")
 def ret_workload(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct texts with their words repeated up to 128."""
-    texts = table(spark, sf, "queries").select("id", T.normalize("text").alias("text")).groupBy("text").agg(F.min("id").alias("id"))
-    return texts.select("id", F.array_join(F.slice(F.flatten(F.array_repeat(F.split("text", " "), 128)), 1, 128), " ").alias("text"))
+    return V.workload(table(spark, sf, "queries"), "id", "text")
+
+
+@query("ret_throughput", """with d as (select lang, sum(strlen(text)) as bytes, count(text) as texts, sum(n_chars) / 1e6 + 1 as seconds from documents group by lang)
+  select lang, round(bytes / 1e6 / seconds, 9) as mb_per_second, round(texts / seconds, 9) as texts_per_second, round(seconds * 1e6 / texts, 9) as us_per_text from d where texts > 0""")
+def ret_throughput(spark: SparkSession, sf: str) -> DataFrame:
+    """Rates of a reading that takes a second and a microsecond for each character."""
+    made = table(spark, sf, "documents").groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("text").alias("texts"), (F.sum("n_chars") / 1e6 + 1).alias("seconds"))
+    rates = S.throughput(made.where("texts > 0"), "seconds", "bytes", "texts")
+    return rates.select("lang", *[F.round(c, 9).alias(c) for c in ("mb_per_second", "texts_per_second", "us_per_text")])
 
 
 @query("rev_packet", """with p as (select distinct query_id, document_id from judgments), r as (select p.*, q.group_id, q.text as query, d.text as document from p join queries q on q.id = query_id join documents d on d.id = document_id),

@@ -249,6 +249,32 @@ def tok_length_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return O.floor_percentile(rows.groupBy("bucket", "n").agg(F.count("*").alias("c")), ["bucket"], "n", "c", {"p50": 50, "p95": 95, "p99": 99})
 
 
+@query("tok_expand", f"with recursive {BPE} {assembled_sql('list_concat([36], ids)')}")
+def tok_expand(spark: SparkSession, sf: str) -> DataFrame:
+    """Fused ids undone are the ids of the model without fusion."""
+    model, rows = bpe_of(table(spark, sf, "pieces")), records(spark, sf).where("text is not null")
+    following = O.after_space(rows.select(K.encoder(model)("text").alias("ids")), "ids")
+    fused = O.fuse_spaces(model, following, 64)
+    return rows.select("rid", K.encoder(fused)("text").alias("ids")).select("rid", joined(K.expanded("ids", fused)).alias("ids"))
+
+
+@query("tok_expected_uses", f"""with recursive {QUERY_WORDS}, dw as (select word, weight, length(word) as n from w), pc as (select piece, exp(max(score)) as p from pieces group by piece),
+  ls as (select unnest(range(1, 1 + (select max(length(piece)) from pieces))) as l),
+  fw(word, n, i, a) as (select word, n, 0::bigint, [1.0::double] from dw
+    union all select word, n, i + 1, list_append(any_value(a), sum(coalesce(a[i + 2 - l] * p, 0))) from (select fw.*, l, substr(word, i + 2 - l, l) as sub from fw, ls where l <= i + 1 and i < n) x left join pc on pc.piece = x.sub group by word, n, i),
+  bw(word, n, i, b) as (select word, n, n, [1.0::double] from dw
+    union all select word, n, i - 1, list_append(any_value(b), sum(coalesce(b[n - i - l + 2] * p, 0))) from (select bw.*, l, substr(word, i, l) as sub from bw, ls where i > 0 and i - 1 + l <= n) x left join pc on pc.piece = x.sub group by word, n, i),
+  fb as (select dw.*, a, b from dw join (select word, a from fw where i = n) using (word) join (select word, b from bw where i = 0) using (word) where a[n + 1] > 0),
+  ar as (select word, weight, n, a, b, s, l, substr(word, s + 1, l) as sub from fb, range(0, 100000) as q(s), ls where s < n and s + l <= n)
+  select piece, round(sum(weight * a[s + 1] * p * b[n - s - l + 1] / a[n + 1]), 6) as uses from ar join pc on pc.piece = sub group by piece having round(sum(weight * a[s + 1] * p * b[n - s - l + 1] / a[n + 1]), 6) > 0""")
+def tok_expected_uses(spark: SparkSession, sf: str) -> DataFrame:
+    """One E-step of the tokenizer in pieces over the words of the queries: expected uses of each piece."""
+    pieces = K.from_pieces(table(spark, sf, "pieces")).pieces
+    uses, _ = O._expected(counts(spark, sf), pieces)
+    made = [(t, x) for (t, _), x in zip(pieces, uses) if x > 0]
+    return spark.createDataFrame(made, "piece string, uses double").select("piece", F.round("uses", 6).alias("uses")).where("uses > 0")
+
+
 @query("tok_quality", f"""with recursive {ids_sql("records", "rid")}, n as (select len(ids) as n from enc)
   select count(*) as texts, 1.0::double as round_trip, 0::bigint as unknown, round(avg((n > 510)::int), 9) as over, quantile_disc(n, 0.95) as p95 from n""")
 def tok_quality(spark: SparkSession, sf: str) -> DataFrame:

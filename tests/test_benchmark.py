@@ -211,3 +211,44 @@ def test_anchored_vectors(spark):
             w = np.maximum(unit[i] @ unit[:3].T - (s[:k].sum() - 1) / k, 0)
             want, support = w @ old, (w > 0).sum()
         assert np.allclose(made[i][0], want) and made[i][1] == support, i
+
+
+def test_packet_of_known_pairs(spark):
+    from corpusloom.operators import review as W
+
+    queries, documents = spark.createDataFrame([("q", "g", "t")], "id string, group_id string, text string"), spark.createDataFrame([("d", "t")], "id string, text string")
+    pool = spark.createDataFrame([("q", "d"), ("q", "x")], "query_id string, document_id string")
+    assert W.packet(pool, queries, documents).count() == 1
+    with pytest.raises(ValueError, match="unknown document_id x"):
+        W.packet(pool, queries, documents, strict=True)
+
+
+def test_rates(spark):
+    rows = spark.createDataFrame([(2.0, 4_000_000, 8)], "s double, b bigint, t bigint")
+    r = S.throughput(rows, "s", "b", "t").first()
+    assert (r.mb_per_second, r.texts_per_second, r.us_per_text) == (2.0, 4.0, 250_000.0)
+    with pytest.raises(ValueError, match="positive"):
+        S.throughput(rows.selectExpr("0D as s", "b", "t"), "s", "b", "t")
+
+
+def test_model_side_car(spark, tmp_path):
+    from corpusloom.functions import tokenizer as K
+    from corpusloom.operators import tokenizers as O
+
+    counts = spark.createDataFrame([("low", 5.0), ("lower", 2.0)], "word string, weight double")
+    model = O.train_bpe(counts, 268, 8, full=False)
+    made = O.train_report(f"{tmp_path}/m", model, counts, {"vocab": 268}, None, 1.5)
+    assert made["words"] == 2 and made["vocab_size"] == model.vocab_size and K.Model.load(f"{tmp_path}/m").merges == model.merges
+    again = O.train_report(f"{tmp_path}/n", model, counts.repartition(3), {"vocab": 268}, None, 1.5)
+    assert again["counts_hash"] == made["counts_hash"] and again["model_sha256"] == made["model_sha256"]
+    with pytest.raises(FileExistsError):
+        O.train_report(f"{tmp_path}/m", model, counts, {}, None, 1.0)
+
+
+def test_closed_model():
+    from corpusloom.functions import tokenizer as K
+
+    with K.Model("unigram", [("a", -1.0)]) as m:
+        assert m.decode(m.encode("a b")) == "a b"
+    with pytest.raises(ValueError, match="closed"):
+        m.encode("a")
