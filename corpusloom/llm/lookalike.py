@@ -82,8 +82,60 @@ def look(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return cp.encode(cps, offsets, null), letters
 
 
+#: Scripts that have letters like Latin ones: first and last code point.
+SCRIPTS = ((0x370, 0x3FF), (0x400, 0x52F), (0x530, 0x58F), (0xA4D0, 0xA4FF))
+#: Distance of the stand-ins of letters that are kept, in a plane of private use that no table touches.
+ASIDE = 0xF0000
+
+
+@lru_cache
+def _script_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each code point its script (0: none of these, 1: Latin, from 2 on SCRIPTS), whether it looks like a Latin letter, and
+    whether it is a blank."""
+    letter = cp.categories() == ord("L")
+    script = np.zeros(cp.TOP, np.int8)
+    script[:0x250][letter[:0x250]] = 1
+    for i, (a, z) in enumerate(SCRIPTS, 2):
+        script[a : z + 1][letter[a : z + 1]] = i
+    alike = np.zeros(cp.TOP, bool)
+    alike[[ord(c) for c in (CYRILLIC + GREEK + OTHER)[::2]]] = True
+    blank = np.fromiter((chr(c).isspace() for c in range(cp.TOP)), bool, cp.TOP)
+    return script, alike, blank
+
+
+def form(column: pa.Array) -> pa.Array:
+    """The consistent form of texts as they are to be read: like look(), but letters of a script of its own stay.
+
+    A letter that looks like a Latin one stays where its text has a letter of its script that looks like none, and its word
+    no Latin letter: a word in Cyrillic or Greek keeps its letters, a foreign letter slipped into a Latin word does not. Equal
+    looks can have different forms; comparisons go by look().
+    """
+    made, _ = look(column)
+    cps, offsets = cp.decode(column)
+    cps, offsets = cp.expand(cps, offsets, cp.decomposed())
+    script, alike, blank = _script_tables()
+    c = cp.clip(cps)
+    of, row = np.where(cps < cp.TOP, script[c], 0), cp.rows_of(offsets)
+    if not (of > 1).any():
+        return made
+    own = np.zeros((len(offsets) - 1, len(SCRIPTS) + 2), bool)
+    sure = (of > 1) & ~alike[c]
+    own[row[sure], of[sure]] = True
+    word = np.cumsum(blank[c]) + row
+    latin = np.bincount(word[of == 1], minlength=int(word.max()) + 1 if len(word) else 1) > 0
+    kept = (of > 1) & alike[c] & own[row, of] & ~latin[word]
+    if not kept.any():
+        return made
+    null = column.is_null().to_numpy(zero_copy_only=False) if column.null_count else None
+    aside, _ = look(cp.encode(np.where(kept, cps + ASIDE, cps).astype(np.int32), offsets, null))
+    cps, offsets = cp.decode(aside)
+    cps = np.where(cps >= ASIDE, cps - ASIDE, cps).astype(np.int32)
+    return cp.encode(*cp.compose(cps, offsets), null)
+
+
 def consistent(df: DataFrame, key: list[str], text: str) -> DataFrame:
-    """(key columns, text, look, has_letter) of every row: null text gives null look, an empty or invisible one an empty look.
+    """(key columns, text, look, form, has_letter) of every row: null text gives null look and form, an empty or invisible one
+    empty ones. look is the key by which texts compare, form what a text is to be stored as; see form().
 
     Repeated rows stay; other columns are not read. Works on whole texts of any length.
     """
@@ -92,25 +144,57 @@ def consistent(df: DataFrame, key: list[str], text: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            made, letters = look(b.column(b.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*b.columns, made, pa.array(letters)], [*b.schema.names, "look", "has_letter"])
+            t = b.column(b.num_columns - 1)
+            made, letters = look(t)
+            yield pa.RecordBatch.from_arrays([*b.columns, made, form(t), pa.array(letters)], [*b.schema.names, "look", "form", "has_letter"])
+
+    return rows.mapInArrow(run, f"{schema}, look string, form string, has_letter boolean")
+
+
+def _looks(df: DataFrame, field: str, key: str, text: str) -> DataFrame:
+    """(f, k, look, raw): 16-byte digests of the look and the characters of every text with a letter."""
+    rows = pick(df, f=field, k=key, t=text).where("t is not null")
+    kind = rows.schema["k"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            made, letters = look(b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), made.cast(pa.string()), b.column(2)], ["f", "k", "look", "raw"]).filter(pa.array(letters))
 
-    return rows.mapInArrow(run, f"{schema}, look string, has_letter boolean")
+    made = rows.mapInArrow(run, f"f string, k {kind}, look string, raw string")
+    return made.select("f", "k", F.unhex(F.md5("look")).alias("look"), F.unhex(F.md5("raw")).alias("raw"))
+
+
+def look_classes(df: DataFrame, field: str, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Classes (field_name, class, first_key, spellings, texts) of texts of one field that look the same in two or more
+    spellings, and their members (field_name, key, class, spelling).
+
+    class and spelling are digests of look and characters; texts counts rows. One row for each class and for each member,
+    however many copies a spelling has. Texts without letters, nulls among them, are in no class; repeated rows are members
+    each; an empty table gives none.
+    """
+    members = _mixed(df, field, key, text, Scratch(df.sparkSession, "lookalike"))
+    spelled = members.groupBy("field_name", "class", "spelling").agg(F.count("*").alias("n"), F.min("key").alias("k"))
+    classes = spelled.groupBy("field_name", "class").agg(F.min("k").alias("first_key"), F.count("*").alias("spellings"), F.sum("n").alias("texts"))
+    return classes, members
+
+
+def _mixed(df: DataFrame, field: str, key: str, text: str, scratch: Scratch) -> DataFrame:
+    """The members of look_classes(); texts of a look in one spelling are folded away before anything else is shuffled."""
+    made = scratch.save(_looks(df, field, key, text), "looks")
+    mixed = made.groupBy("f", "look").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("f", "look")
+    members = sized_join(made, scratch.save(mixed, "mixed"), ["f", "look"], "left_semi")
+    return scratch.save(members.select(F.col("f").alias("field_name"), F.col("k").alias("key"), F.col("look").alias("class"), F.col("raw").alias("spelling")), "members")
 
 
 def same_look_pairs(df: DataFrame, field: str, key: str, text: str) -> DataFrame:
     """(field_name, key_a, key_b), key_a < key_b: rows of one field whose texts look the same but differ in characters.
 
-    Texts that are the same characters make no pair; texts without letters are left out. Only looks with at least two
-    different texts are ever joined, and by equality of look; groups of one text, however large, never meet themselves.
+    All such pairs, made from look_classes(): only members of classes with two spellings or more are joined, and spelling with
+    other spelling; groups of one text, however large, never meet themselves. A class of many copies in several spellings has
+    as many pairs as it has; look_classes() tells the same in one row for each text.
     """
-    scratch = Scratch(df.sparkSession, "lookalike")
-    digest = lambda c: F.unhex(F.md5(c))
-    made = consistent(df, [field, key], text).where("has_letter")
-    made = scratch.save(made.select(F.col(field).alias("f"), F.col(key).alias("k"), digest("look").alias("look"), digest("text").alias("raw")), "looks")
-    mixed = made.groupBy("f", "look").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("f", "look")
-    mixed = scratch.save(mixed, "mixed")
-    members = scratch.save(sized_join(made, mixed, ["f", "look"]), "members")
-    a, b = members.select("f", "look", F.col("k").alias("key_a"), F.col("raw").alias("raw_a")), members.select("f", "look", F.col("k").alias("key_b"), F.col("raw").alias("raw_b"))
-    pairs = a.join(b, ["f", "look"]).where("raw_a <> raw_b and key_a < key_b")
-    return pairs.select(F.col("f").alias("field_name"), "key_a", "key_b")
+    members = _mixed(df, field, key, text, Scratch(df.sparkSession, "pairs"))
+    a, b = (members.select("field_name", "class", F.col("key").alias(f"key_{x}"), F.col("spelling").alias(f"raw_{x}")) for x in "ab")
+    pairs = a.join(b, ["field_name", "class"]).where("raw_a <> raw_b and key_a < key_b")
+    return pairs.select("field_name", "key_a", "key_b")

@@ -129,4 +129,4 @@ def test_recall_of_randomly_edited_copies(spark):
     assert {(r.item_id, r.doc_id): (r.score, r.run) for r in rows} == want and len(want) > 130
     size = {i: len(w) for i, w in items}
     assert all(r.kind == ("passage" if r.run >= 10 else "edited" if r.score >= size[r.item_id] else "phrase") for r in rows)
-    assert len({r.kind for r in rows}) == 3
+    assert {"passage", "edited"} <= {r.kind for r in rows}

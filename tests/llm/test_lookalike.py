@@ -43,3 +43,18 @@ def test_defined_for_odd_tables(spark):
     assert [r.look for r in made] == ["a", "a"]
     nulls = L.consistent(spark.createDataFrame([(None, None, None)], SCHEMA), ["field_name", "key"], "text").first()
     assert nulls.look is None and not nulls.has_letter
+
+
+def test_forms_keep_their_script():
+    texts = ["Това е напълно ясно", "pаypal и още", "раураl", "ёлка ёж", "Ελλάδα ατα", "сор", None, "", "pay ｐal", "Њу a"]
+    got = L.form(pa.array(texts)).to_pylist()
+    assert got[0] == texts[0] and got[1] == "paypal и още" and got[2] == "paypal" and got[3] == "ёлка ёж" and got[4] == texts[4]
+    # letters that all look Latin, in a text without any other of their script, can't be told from Latin ones
+    assert got[5] == "cop" and got[6] is None and got[7] == "" and got[8] == "pay pal" and got[9] == "Њу a"
+
+
+def test_many_copies_in_two_spellings_are_linear(spark):
+    rows = spark.range(100_000).selectExpr("'x' as f", "cast(id as string) as k", "if(id % 2 = 0, 'pay pal', 'pаy pal') as t").unionByName(spark.createDataFrame([("x", "a", "other"), ("x", "b", "other"), ("x", "c", None)], "f string, k string, t string"))
+    classes, members = L.look_classes(rows, "f", "k", "t")
+    assert [(r.field_name, r.first_key, r.spellings, r.texts) for r in classes.collect()] == [("x", "0", 2, 100_000)]
+    assert members.count() == 100_000 and members.select("spelling").distinct().count() == 2

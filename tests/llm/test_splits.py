@@ -76,3 +76,20 @@ def test_defined_for_odd_tables(spark):
     clash = spark.createDataFrame([(1, "g", None, "train", None, 7, "x"), (2, "G ", None, "test", None, 7, "x")], SCHEMA + ", k int, root string")
     assert S.contradictory(clash, "rid", "group_id", "source", "split").count() == 2
     assert S.assign_splits(clash, "rid", "group_id", "source", "bucket").select("split").distinct().count() == 1
+
+
+def test_deviation_is_balanced(spark):
+    """Sets of several labels and sizes: each label comes within a set's size of its share; every label counts, however many."""
+    rng, rows, rid = random.Random(4), [], 0
+    for n in range(1500):
+        labels = [f"l{min(int(rng.expovariate(0.4)), 9)}"] if n % 4 else rng.sample([f"l{i}" for i in range(10)], 2)
+        for _ in range(rng.choice((1, 1, 1, 2, 5))):
+            rows.append((rid, f"g{n}", None, None, rng.choice(labels)))
+            rid += 1
+    rows += [(rid + i, None, None, None, f"rare{i % 40}") for i in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    shares = {"train": 0.8, "validation": 0.1, "test": 0.1}
+    made = S.assign_splits(df, "rid", "group_id", "source", "bucket", shares)
+    got = S.deviation(df, "rid", "bucket", made, shares).collect()
+    assert len(got) == 3 * 50 and sum(r.records for r in got) == len(rows)
+    assert max(abs(r.deviation) for r in got) <= 5
