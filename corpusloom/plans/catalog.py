@@ -11,11 +11,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query under a name, with its SQL."""
+def query(name: str, sql: str | None = None, then: Callable[[DataFrame], DataFrame] | None = None):
+    """Register a query under a name, with its SQL; then is applied to its result, to round what engines sum in other orders."""
 
     def keep(f):
-        QUERIES[name] = f
+        QUERIES[name] = f if then is None else lambda spark, sf: then(f(spark, sf))
         if sql:
             SQL[name] = sql
         return f

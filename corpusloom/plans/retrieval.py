@@ -172,14 +172,14 @@ NARROW = "round(mean, 9) as mean, round(low, 9) as low, round(high, 9) as high"
 
 
 @query("ret_bootstrap", f"""with {QRELS}, {SYSTEMS}, m as (select 'all' as slice, 'all' as value, group_id, x.* exclude (query_id) from {metrics_sql('a')} x join queries on id = query_id), {boot_sql('m')}
-  select metric, groups, {NARROW} from iv""")
+  select metric, groups, {NARROW} from iv""", narrow)
 def ret_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    return narrow(S.summarize(scored(spark, sf, "a"), REPEATS))
+    return S.summarize(scored(spark, sf, "a"), REPEATS)
 
 
-@query("ret_compare", f"""with {QRELS}, {SYSTEMS}, df as ({difference_sql('a', 'b')}), m as ({sliced_sql('df')}), {boot_sql('m')} select slice, value, metric, groups, {NARROW} from iv""")
+@query("ret_compare", f"""with {QRELS}, {SYSTEMS}, df as ({difference_sql('a', 'b')}), m as ({sliced_sql('df')}), {boot_sql('m')} select slice, value, metric, groups, {NARROW} from iv""", narrow)
 def ret_compare(spark: SparkSession, sf: str) -> DataFrame:
-    return narrow(S.compare(scored(spark, sf, "b"), scored(spark, sf, "a"), ("bucket",), REPEATS))
+    return S.compare(scored(spark, sf, "b"), scored(spark, sf, "a"), ("bucket",), REPEATS)
 
 
 CROSSED = f"""{', '.join(shuffled_sql(f'b{s}', s) for s in SEEDS)}, {', '.join(shuffled_sql(f'c{s}', s, 1) for s in SEEDS)},
@@ -193,12 +193,12 @@ CROSSED = f"""{', '.join(shuffled_sql(f'b{s}', s) for s in SEEDS)}, {', '.join(s
   md as ({' union all '.join(f"select '{m}' as metric, max(n) as groups, avg({m}) as mean from gm" for m in V.METRICS)})"""
 
 
-@query("ret_crossed", f"with {QRELS}, {CROSSED} select metric, groups, 3::bigint as runs, round(mean, 9) as mean, round(xs[{int(0.025 * REPEATS) + 1}], 9) as low, round(xs[{int(0.975 * REPEATS) + 1}], 9) as high from nt join md using (metric)")
+@query("ret_crossed", f"with {QRELS}, {CROSSED} select metric, groups, 3::bigint as runs, round(mean, 9) as mean, round(xs[{int(0.025 * REPEATS) + 1}], 9) as low, round(xs[{int(0.975 * REPEATS) + 1}], 9) as high from nt join md using (metric)", narrow)
 def ret_crossed(spark: SparkSession, sf: str) -> DataFrame:
     """Three seeds of two ways to rank."""
     side = lambda name: [scored(spark, sf, name, seed=s).withColumn("run", F.lit(s)) for s in SEEDS]
     b, c = side("b"), side("c")
-    return narrow(S.crossed(b[0].unionByName(b[1]).unionByName(b[2]), c[0].unionByName(c[1]).unionByName(c[2]), REPEATS))
+    return S.crossed(b[0].unionByName(b[1]).unionByName(b[2]), c[0].unionByName(c[1]).unionByName(c[2]), REPEATS)
 
 
 @query("ret_paired", f"""with {QRELS}, {SYSTEMS}, x as (select * from {metrics_sql('a')}), y as (select * from {metrics_sql('b')})
