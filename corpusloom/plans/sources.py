@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.plans.catalog import query
-from corpusloom.runtime import Scratch, table
+from corpusloom.runtime import Scratch, remove, table
 from corpusloom.sources import files as S
 
 COLUMNS = "rid, text, bucket, source, group_id, attribution, split"
@@ -114,6 +114,7 @@ def dataset(spark: SparkSession, sf: str) -> str:
         found = [s.getPath() for s in files.listStatus(fs(part)) if s.getPath().getName().startswith("part-")]
         files.mkdirs(fs(root))
         files.rename(found[0], fs(f"{root}/{name}.jsonl"))
+    remove(spark, f"{root}-parts")
     return root
 
 

@@ -48,11 +48,12 @@ def scratch_root(spark: SparkSession) -> str:
             raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         root = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-        atexit.register(_remove, spark, root)
+        atexit.register(remove, spark, root)
     return root.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if the session still can."""
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -73,7 +74,7 @@ class Scratch:
         self.base = f"{scratch_root(spark)}/corpusloom/{name}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[str, str] = {}
         self.turn = 0
-        atexit.register(_remove, spark, self.base)
+        atexit.register(remove, spark, self.base)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it back; a table saved before under this name is removed afterwards."""
@@ -82,19 +83,19 @@ class Scratch:
         df.write.mode("errorifexists").parquet(path)
         self.paths[name] = path
         if old:
-            _remove(self.spark, old)
+            remove(self.spark, old)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Remove tables that nothing lazy reads any more."""
         for name in names:
             if path := self.paths.pop(name, None):
-                _remove(self.spark, path)
+                remove(self.spark, path)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Remove every table that operators of this session wrote. Results that are not written yet can't be read afterwards."""
-    _remove(spark, f"{scratch_root(spark)}/corpusloom")
+    remove(spark, f"{scratch_root(spark)}/corpusloom")
 
 
 def _width(df: DataFrame) -> Column:
