@@ -9,6 +9,7 @@ price on each change cuts it.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import re
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.copies import FIELD_NAMES, field_patterns, fields
 from corpusloom.llm.lookalike import look
-from corpusloom.runtime import pick, scratch_root
+from corpusloom.runtime import pick, remove, scratch_root
 
 LANGUAGES = ("bangla", "banglish", "english", "french", "hindi")
 #: Labelled texts that a fit reads for each language, chosen by hash; the only bounded sample here.
@@ -327,9 +328,12 @@ def fit(labelled: DataFrame, text: str, language: str, languages: tuple[str, ...
     texts = [(r.t, r.l) for r in rows.withColumn("n", best).where(F.col("n") <= SAMPLE).orderBy("l", "n").collect()]
     texts.sort(key=lambda x: languages.index(x[1]))
     name = hashlib.sha256(repr((texts, languages, seed, HIDDEN, STEPS, MORE_STEPS, BATCH, RATE, POWER, BYTES, FLOOR)).encode()).hexdigest()[:24]
-    path = f"{scratch_root(labelled.sparkSession)}/corpusloom/language-{name}"
-    if kept := _kept(labelled.sparkSession, path, languages):
+    spark = labelled.sparkSession
+    # of this session only: another one fits anew
+    path = f"{scratch_root(spark)}/corpusloom/language-{spark.sparkContext.applicationId}-{name}"
+    if kept := _kept(spark, path, languages):
         return kept
+    atexit.register(remove, spark, path)
     network = train(texts, languages, seed)
     # labels can be wrong: texts that the network reads as another language altogether are left out when it is fitted further
     read = Reader(network).read(pa.array([t for t, _ in texts], pa.string()))
@@ -337,7 +341,7 @@ def fit(labelled: DataFrame, text: str, language: str, languages: tuple[str, ...
     if len(right) < len(texts):
         network = train(right, languages, seed, network, MORE_STEPS)
     rows = [(k, list(x.shape), x.tobytes()) for k, x in sorted(network.w.items())]
-    labelled.sparkSession.createDataFrame(rows, "name string, shape array<int>, weights binary").coalesce(1).write.mode("overwrite").parquet(path)
+    spark.createDataFrame(rows, "name string, shape array<int>, weights binary").coalesce(1).write.mode("overwrite").parquet(path)
     return network
 
 

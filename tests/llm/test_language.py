@@ -105,3 +105,17 @@ def test_fit_ignores_wrong_labels(spark):
     net = L.fit(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
     ok = net.words(["আমি", "the", "hier"]).argmax(axis=1)
     assert [net.languages[i] for i in ok] == ["bangla", "english", "french"]
+
+
+def test_a_session_fits_once(spark, monkeypatch):
+    rows = [("আমি ভাত খাই", "bangla"), ("ami bhat khai", "banglish"), ("we eat rice", "english")] * 3
+    df = spark.createDataFrame(rows, "text string, lang string")
+    number = []
+    real = L.train
+    monkeypatch.setattr(L, "train", lambda *a, **k: number.append(1) or real(*a, **{**k, "steps": 20}))
+    first = L.fit(df, "text", "lang", seed=5)
+    fits = len(number)
+    again = L.fit(df.repartition(3), "text", "lang", seed=5)
+    assert fits and len(number) == fits and all((first.w[k] == again.w[k]).all() for k in first.w)
+    L.fit(df, "text", "lang", seed=6)
+    assert len(number) > fits
