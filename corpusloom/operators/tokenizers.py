@@ -22,6 +22,8 @@ from corpusloom.runtime import Scratch, need
 WORDS = 3_000_000
 #: Pairs looked at in a round of BPE training, and the total below which a pair is only rounding.
 ROUND, RESIDUE = 128, 1e-12
+#: Part of the largest total below which two totals are equal.
+GRAIN = 1e-12
 
 
 def training_input(counts: DataFrame) -> DataFrame:
@@ -137,11 +139,18 @@ class _Pairs:
         self.total[k] = -1.0
 
     def heaviest(self, n: int) -> list[int]:
-        """Slots of the n heaviest open pairs, and of all that weigh as much as the last; equal ones by their symbols."""
+        """Slots of the n heaviest open pairs, and of all that weigh as much as the last; equal ones by their symbols.
+
+        Totals are compared in steps of GRAIN of the largest, so that sums made in another order are equal.
+        """
         total = self.total[: len(self.names)]
-        edge = max(np.partition(total, -n)[-n] if len(total) > n else 0.0, RESIDUE)
-        found = np.flatnonzero(total >= edge if edge > RESIDUE else total > RESIDUE).tolist()
-        return sorted(found, key=lambda k: (-total[k], self.names[k]))
+        top = float(total.max(initial=0.0))
+        if top <= RESIDUE:
+            return []
+        steps = np.where(total > RESIDUE, np.rint(total / (top * GRAIN)), -1.0)
+        edge = np.partition(steps, -n)[-n] if len(steps) > n else 0.0
+        found = np.flatnonzero(steps >= max(edge, 0.0)).tolist()
+        return sorted(found, key=lambda k: (-steps[k], self.names[k]))
 
 
 def train_bpe(counts: DataFrame, vocab: int, longest: int, full: bool = True) -> K.Model:

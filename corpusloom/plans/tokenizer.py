@@ -19,8 +19,8 @@ COUNTS = "w as (select word, count(*)::double as weight from q group by word)"
 
 
 def counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Word weights of the query texts."""
-    return O.word_frequency(table(spark, sf, "queries"), "text").select("word", F.col("n").cast("double").alias("weight"))
+    """Word weights of the records."""
+    return O.word_frequency(records(spark, sf), "text").select("word", F.col("n").cast("double").alias("weight"))
 
 
 #: Of training: ids in all, seeds, characters of a piece.
@@ -33,7 +33,7 @@ def training_counts(spark: SparkSession, sf: str) -> DataFrame:
     return C.word_counts(Scratch(spark, "train").save(train, "train"), MIXTURE, fitting=True)
 
 
-QUERY_WORDS = f"q as ({WORDS.replace('records', 'queries')}), {COUNTS}"
+RECORD_WORDS = f"q as (select word from ({WORDS}) where strlen(word) <= 1024), {COUNTS}"
 
 
 @query("tok_word_frequency", f"select word, count(*) as n from ({WORDS}) where strlen(word) <= 1024 group by word")
@@ -41,14 +41,14 @@ def tok_word_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return O.word_frequency(records(spark, sf), "text")
 
 
-@query("tok_seed_counts", f"""with {QUERY_WORDS}, s as (select word, weight, unnest(range(1, length(word) + 1)) as i from w),
+@query("tok_seed_counts", f"""with {RECORD_WORDS}, s as (select word, weight, unnest(range(1, length(word) + 1)) as i from w),
   p as (select word, weight, i, unnest(range(1, least(6, length(word) - i + 1) + 1)) as n from s)
   select array_to_string(list_slice(string_split(word, ''), i, i + n - 1), '') as piece, sum(weight) as weight from p group by 1""")
 def tok_seed_counts(spark: SparkSession, sf: str) -> DataFrame:
     return O.seed_counts(counts(spark, sf), 6)
 
 
-@query("tok_pair_totals", f"""with {QUERY_WORDS}, s as (select string_split(word, '') as c, weight, unnest(range(1, length(word))) as i from w)
+@query("tok_pair_totals", f"""with {RECORD_WORDS}, s as (select string_split(word, '') as c, weight, unnest(range(1, length(word))) as i from w)
   select c[i] as a, c[i + 1] as b, sum(weight) as weight from s group by 1, 2""")
 def tok_pair_totals(spark: SparkSession, sf: str) -> DataFrame:
     return O.pair_totals(counts(spark, sf))
@@ -124,14 +124,14 @@ def tok_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 @query("tok_sample")
 def tok_sample(spark: SparkSession, sf: str) -> DataFrame:
     draw = K.sampler(K.from_pieces(table(spark, sf, "pieces")), 0.5, 17)
-    return table(spark, sf, "queries").select("id", draw("text", "id").alias("ids"))
+    return records(spark, sf).select("rid", draw("text", "rid").alias("ids"))
 
 
-@query("tok_sample_decoded", f"select id, {NORMAL} as text from queries where text is not null")
+@query("tok_sample_decoded", f"select rid, {NORMAL} as text from records where text is not null")
 def tok_sample_decoded(spark: SparkSession, sf: str) -> DataFrame:
     """Whatever segmentation is drawn, it stands for its text."""
     decode = K.decoder(K.from_pieces(table(spark, sf, "pieces")))
-    return tok_sample(spark, sf).where("ids is not null").select("id", decode("ids").alias("text"))
+    return tok_sample(spark, sf).where("ids is not null").select("rid", decode("ids").alias("text"))
 
 
 RATES = ("fertility", "tokens_per_word", "truncation_rate", "fallback_rate", "utilization")
@@ -258,21 +258,21 @@ def tok_expand(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("rid", K.encoder(fused)("text").alias("ids")).select("rid", joined(K.expanded("ids", fused)).alias("ids"))
 
 
-@query("tok_expected_uses", f"""with recursive {QUERY_WORDS}, dw as (select word, weight, length(word) as n from w), pc as (select piece, exp(max(score)) as p from pieces group by piece),
+@query("tok_expected_uses", f"""with recursive {RECORD_WORDS}, dw as (select word, weight, length(word) as n from w), pc as (select piece, exp(max(score)) as p from pieces group by piece),
   ls as (select unnest(range(1, 1 + (select max(length(piece)) from pieces))) as l),
   fw(word, n, i, a) as (select word, n, 0::bigint, [1.0::double] from dw
     union all select word, n, i + 1, list_append(any_value(a), sum(coalesce(a[i + 2 - l] * p, 0))) from (select fw.*, l, substr(word, i + 2 - l, l) as sub from fw, ls where l <= i + 1 and i < n) x left join pc on pc.piece = x.sub group by word, n, i),
   bw(word, n, i, b) as (select word, n, n, [1.0::double] from dw
     union all select word, n, i - 1, list_append(any_value(b), sum(coalesce(b[n - i - l + 2] * p, 0))) from (select bw.*, l, substr(word, i, l) as sub from bw, ls where i > 0 and i - 1 + l <= n) x left join pc on pc.piece = x.sub group by word, n, i),
   fb as (select dw.*, a, b from dw join (select word, a from fw where i = n) using (word) join (select word, b from bw where i = 0) using (word) where a[n + 1] > 0),
-  ar as (select word, weight, n, a, b, s, l, substr(word, s + 1, l) as sub from fb, range(0, 100000) as q(s), ls where s < n and s + l <= n)
-  select piece, round(sum(weight * a[s + 1] * p * b[n - s - l + 1] / a[n + 1]), 6) as uses from ar join pc on pc.piece = sub group by piece having round(sum(weight * a[s + 1] * p * b[n - s - l + 1] / a[n + 1]), 6) > 0""")
+  ar as (select word, weight, n, a, b, s, l, substr(word, s + 1, l) as sub from (select *, unnest(range(n)) as s from fb), ls where s + l <= n)
+  select piece, round(sum(weight * a[s + 1] * p * b[n - s - l + 1] / a[n + 1]), 4) as uses from ar join pc on pc.piece = sub group by piece having round(sum(weight * a[s + 1] * p * b[n - s - l + 1] / a[n + 1]), 4) > 0""")
 def tok_expected_uses(spark: SparkSession, sf: str) -> DataFrame:
-    """One E-step of the tokenizer in pieces over the words of the queries: expected uses of each piece."""
+    """One E-step of the tokenizer in pieces over the words of the records: expected uses of each piece."""
     pieces = K.from_pieces(table(spark, sf, "pieces")).pieces
     uses, _ = O._expected(counts(spark, sf), pieces)
     made = [(t, x) for (t, _), x in zip(pieces, uses) if x > 0]
-    return spark.createDataFrame(made, "piece string, uses double").select("piece", F.round("uses", 6).alias("uses")).where("uses > 0")
+    return spark.createDataFrame(made, "piece string, uses double").select("piece", F.round("uses", 4).alias("uses")).where("uses > 0")
 
 
 @query("tok_quality", f"""with recursive {ids_sql("records", "rid")}, n as (select len(ids) as n from enc)

@@ -202,3 +202,17 @@ def test_overlap_kinds(spark):
     items = spark.createDataFrame([(9, item), (8, None)], "i bigint, x string")
     got = {(r.d, r.kind) for r in C.overlaps(docs, "d", "t", items, "i", "x").collect()}
     assert got == {(1, "containment"), (2, "containment"), (2, "canonical")}
+
+
+def test_every_number_of_blocks_finds_the_same_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    values = base + [h ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))) for h in base for _ in range(2)]
+    signed = [h - (1 << 64) if h >> 63 else h for h in set(values)]
+    want = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 3}
+    df = spark.createDataFrame([(h,) for h in signed], "h bigint")
+    for blocks in (None, 4, 5, 8):
+        assert {tuple(r) for r in C.near_hashes(df, blocks=blocks).collect()} == want
+    assert [C.blocks_for(n) for n in (10**3, 10**6, 10**9, 10**12)] == sorted(C.blocks_for(n) for n in (10**3, 10**6, 10**9, 10**12)) and C.blocks_for(10**9) >= 5

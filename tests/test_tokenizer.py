@@ -170,3 +170,93 @@ def test_registered_training_reads_train_records(spark, monkeypatch):
     for counts, _ in seen:
         got = {r.word: r.weight for r in counts.collect()}
         assert set(got) == want and len(want) > 100 and 0.99e6 < sum(got.values()) <= 1e6 + 1
+
+
+def test_batches_equal_single_texts():
+    """Lattices and gathers give what one text after the other gives, for any blanks, nulls and models."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    letters = "abcআমিé🙂"
+    made = ["".join(rng.choices(letters, k=rng.randint(1, 70 if rng.random() < 0.1 else 9))) for _ in range(300)]
+    pieces = sorted({w[i : i + n] for w in made[:60] for i in range(len(w)) for n in (1, 2, 3)} - {"🙂"})
+    unigram = K.Model("unigram", [(p, -float(rng.randint(1, 6))) for p in pieces])
+    chars = [p for p in pieces if len(p) == 1]
+    pairs = [p for p in pieces if len(p) == 2 and set(p) <= set(chars)]
+    bpe = K.Model("bpe", [(p, 0.0) for p in chars + pairs], [(chars.index(p[0]), chars.index(p[1]), len(chars) + i) for i, p in enumerate(pairs)])
+    fused = K.Model("bpe", bpe.pieces, bpe.merges, [K.PIECES, K.PIECES + len(chars), K.BYTES + 0xF0], version=2)
+    blanks = [" ", "  ", "\n", " ", "\x1c", "　 "]
+    texts = [None, "", " ", "é a"] + ["".join(w + rng.choice(blanks) for w in rng.choices(made, k=rng.randint(0, 12))) for _ in range(200)]
+    for model in (unigram, bpe, fused):
+        column = pa.array(texts, pa.string())
+        ids = K.encode_batch(model, column)
+        fresh = K.Model(model.algorithm, model.pieces, model.merges, model.space_fusion, version=model.version)
+        fresh.learn = lambda words: None
+        assert ids.to_pylist() == [None if t is None else fresh.encode(t) for t in texts]
+        assert K.decode_batch(model, ids).to_pylist() == [None if t is None else K.normalize(t) for t in texts]
+        assert K.encode_batch(model, column[5:9]).to_pylist() == ids.to_pylist()[5:9]
+    for wrong in ([[K.BYTES + 0xE0]], [[1]], [[10**6]]):
+        with pytest.raises(ValueError):
+            K.decode_batch(unigram, pa.array(wrong, pa.list_(pa.int32())))
+
+
+def test_expected_uses_against_all_segmentations():
+    import numpy as np
+
+    from corpusloom.functions import lattice as L
+
+    pieces = {"a": -1.0, "b": -1.5, "ab": -1.2, "ba": -2.0, "aba": -3.0}
+    names = list(pieces)
+    lattice = L.Lattice(names, list(pieces.values()))
+
+    def ways(w):
+        return [[]] if not w else [[p, *rest] for p in names if w.startswith(p) for rest in ways(w[len(p) :])]
+
+    words, weights = ["abab", "baba", "aaab", "abac"], np.array([2.0, 1.0, 0.5, 9.0])
+    uses, loss = lattice.expected(L.code_points(words, 4), weights)
+    want, lost = dict.fromkeys(names, 0.0), 0.0
+    for w, x in zip(words, weights):
+        parts = [(way, np.exp(sum(pieces[p] for p in way))) for way in ways(w)]
+        total = sum(p for _, p in parts)
+        if total:
+            lost -= x * np.log(total)
+        for way, p in parts:
+            for piece in way:
+                want[piece] += x * p / total
+    assert np.allclose(uses, [want[p] for p in names]) and np.isclose(loss, lost)
+
+
+def test_bpe_rounds_equal_one_merge_after_the_other(spark):
+    """Several merges a round give the merges of a heap of one at a time, for weights with and without ties."""
+    from collections import Counter
+
+    rng = random.Random(12)
+    for weigh in (lambda: float(rng.randint(1, 3)), rng.random):
+        rows = sorted({"".join(rng.choices("abcd", (5, 3, 2, 1), k=rng.randint(1, 9))) for _ in range(60)})
+        rows = [(w, weigh()) for w in rows]
+        model = O.train_bpe(counts(spark, rows), K.PIECES + 60, 6)
+        texts = sorted({c for w, _ in rows for c in w})
+        words, merges, done = [([texts.index(c) for c in w], x) for w, x in rows], [], set()
+        while len(texts) < 60:
+            total = Counter()
+            for ids, x in words:
+                for p in zip(ids, ids[1:]):
+                    total[p] += x
+            a, b = min((-round(x, 9), p) for p, x in total.items() if p not in done)[1]
+            done.add((a, b))
+            made = texts[a] + texts[b]
+            if len(made) > 6:
+                continue
+            if made not in texts:
+                texts.append(made)
+            merges.append((a, b, texts.index(made)))
+            new = []
+            for ids, x in words:
+                out, i = [], 0
+                while i < len(ids):
+                    pair = ids[i : i + 2] == [a, b]
+                    out.append(texts.index(made) if pair else ids[i])
+                    i += 1 + pair
+                new.append((out, x))
+            words = new
+        assert [tuple(m) for m in model.merges] == merges
