@@ -153,13 +153,21 @@ class _Pairs:
         return sorted(found, key=lambda k: (-steps[k], self.names[k]))
 
 
-def train_bpe(counts: DataFrame, vocab: int, longest: int, full: bool = True) -> K.Model:
+class NoPairLeft(ValueError):
+    """The words give fewer merges than a vocabulary needs; model is what they give."""
+
+    def __init__(self, message: str, model: K.Model):
+        super().__init__(message)
+        self.model = model
+
+
+def train_bpe(counts: DataFrame, vocab: int, longest: int) -> K.Model:
     """Merge the heaviest pair of neighbours until the vocabulary is full; ties go to the earlier made left, then right, piece.
 
     Spark checks and sums the words and totals their pairs of characters. The driver holds the distinct words, at most WORDS,
     and in each round merges the heaviest pairs together as far as no two of them share a symbol: until a pair that touches a
     merged one comes up, no total that matters can have changed, and a pair that a merge makes weighs no more than one that
-    touches. full raises if no pair is left before the vocabulary is full; otherwise the model is what the words give.
+    touches. Raises NoPairLeft, with the model made so far, if no pair is left before the vocabulary is full.
     """
     if vocab <= K.PIECES or longest < 1:
         raise ValueError("vocabulary and length do not fit together")
@@ -199,10 +207,8 @@ def train_bpe(counts: DataFrame, vocab: int, longest: int, full: bool = True) ->
             used |= {a, b}
             if known:  # what this piece already touches may now weigh more
                 break
-        if not to and not dull and not full:
-            break
         if not to and not dull:
-            raise ValueError(f"no pair is left to merge at {len(texts) + K.PIECES} of {vocab}")
+            raise NoPairLeft(f"no pair is left to merge at {len(texts) + K.PIECES} of {vocab}", K.Model("bpe", [(t, 0.0) for t in texts], merges))
         for w in sorted(set().union(*[pairs.holders[pairs.slot[p]] for p in to])):
             old, new, i = words[w], [], 0
             while i < len(old):

@@ -230,7 +230,10 @@ def tok_train_unigram(spark: SparkSession, sf: str) -> DataFrame:
 @query("tok_train_bpe")
 def tok_train_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """At full size; small tables give fewer merges than that."""
-    model = O.train_bpe(training_counts(spark, sf), VOCAB, LONGEST, full=False)
+    try:
+        model = O.train_bpe(training_counts(spark, sf), VOCAB, LONGEST)
+    except O.NoPairLeft as e:
+        model = e.model
     return spark.createDataFrame([(r, *m, model.pieces[m[2]][0]) for r, m in enumerate(model.merges)], "rank int, lhs int, rhs int, result int, piece string")
 
 

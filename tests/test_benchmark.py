@@ -236,7 +236,10 @@ def test_model_side_car(spark, tmp_path):
     from corpusloom.operators import tokenizers as O
 
     counts = spark.createDataFrame([("low", 5.0), ("lower", 2.0)], "word string, weight double")
-    model = O.train_bpe(counts, 268, 8, full=False)
+    with pytest.raises(O.NoPairLeft) as short:
+        O.train_bpe(counts, 300, 8)
+    model = short.value.model
+    assert model.encode("lower") == [model.vocab_size - 1]
     made = O.train_report(f"{tmp_path}/m", model, counts, {"vocab": 268}, None, 1.5)
     assert made["words"] == 2 and made["vocab_size"] == model.vocab_size and K.Model.load(f"{tmp_path}/m").merges == model.merges
     again = O.train_report(f"{tmp_path}/n", model, counts.repartition(3), {"vocab": 268}, None, 1.5)
