@@ -76,3 +76,19 @@ def test_defined_for_odd_tables(spark):
     # a's latest is unresolved, of b's equally late ones the higher counts, 7 is no grade of the model
     assert {(r.query_id, r.annotator, r.grade) for r in votes.collect()} == {("q", C.ORIGINAL, 1), ("p", C.ORIGINAL, 1), ("p", "b", 2), ("r", "c", 7)}
     assert {r.query_id for r in fit(df).items().collect()} == {"q", "p"}
+
+
+def test_items_too_large_for_one_task(spark, planted):
+    """Sums made map-side and joined back give what sums in one task give; a fit that is cut short says so."""
+    from corpusloom.runtime import Scratch
+
+    df = spark.createDataFrame(planted[1], SCHEMA)
+    item, who = ["query_id", "document_id"], "audit_reviewer_id"
+    votes = C.latest_grades(df, item, who, "audit_grade", "audited_at", "original_grade")
+    made = [C.Consensus(votes, item, [0, 1, 2], Scratch(spark, "t"), hot=h) for h in (0, C.HOT)]
+    assert made[0].hot and not made[1].hot and all(m.converged and m.moved < C.CHANGE for m in made)
+    rows = [{r.annotator: (r["items"], round(r.reliability, 6)) for r in m.annotators().collect()} for m in made]
+    assert rows[0] == rows[1] and made[0].rounds == made[1].rounds
+    with pytest.warns(UserWarning, match="after 1 rounds"):
+        short = C.Consensus(votes, item, [0, 1, 2], Scratch(spark, "t"), rounds=1)
+    assert not short.converged
