@@ -201,3 +201,50 @@ def test_registered_bootstraps_draw_two_thousand_times(spark, monkeypatch):
     for name in ("ret_bootstrap", "ret_compare", "ret_crossed"):
         getattr(retrieval, name)(spark, "/root/testdata/sf0.001")
     assert drawn == {"summarize": 2000, "compare": 2000, "crossed": 2000}
+
+
+def shuffled(spark):
+    """Bytes that the session's tasks have shuffled so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(store.apply(i).totalShuffleWrite() for i in range(store.size()))
+
+
+def test_bm25_does_not_shuffle_pairs(spark):
+    docs = spark.range(3000).selectExpr("id as d", "concat('all of these w', id % 7, ' x', id % 11, ' y', id % 13) as t")
+    asked = spark.range(400).selectExpr("id as q", "concat('these all w', id % 7, ' x', id % 11, ' y', id % 13) as t")
+    before = shuffled(spark)
+    got = V.bm25(docs, "d", "t", asked, "q", "t").collect()
+    assert len(got) == 4000 and shuffled(spark) - before < 1_000_000  # there are 1.2 million pairs
+    five = [(-r.score, r.d) for r in sorted(got, key=lambda r: r["rank"]) if r.q == 5]
+    assert five == sorted(five)  # equal scores by document
+
+
+def test_bm25_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "apple pear"), (1, "apple pear"), (2, "apple fig fig"), (2, "plum"), (3, "plum nut")], "d bigint, t string")
+    asked = spark.createDataFrame([("a", "apple fig"), ("a", "fig nut"), ("b", "plum plum")], "q string, t string")
+    got = {(r.q, r.d): round(r.score, 6) for r in V.bm25(docs, "d", "t", asked, "q", "t").collect()}
+    mean, score = 10 / 5, lambda n, f, size: math.log1p((5 - n + 0.5) / (n + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * size / mean))  # rows of one document and size are one
+    assert got == {("a", 1): round(score(2, 2, 2), 6), ("a", 2): round(score(2, 1, 3) + score(1, 2, 3), 6), ("a", 3): round(score(1, 1, 2), 6), ("b", 2): round(score(2, 1, 1), 6), ("b", 3): round(score(2, 1, 2), 6)}
+
+
+@pytest.fixture(scope="module")
+def judged_tables(spark, tmp_path_factory):
+    """400 judged queries, each of which shares words with every one of 3000 documents."""
+    sf = str(tmp_path_factory.mktemp("judged"))
+    words = "all of these w', id % 7, ' x', id % 11, ' y', id % 13"
+    spark.range(3000).selectExpr("id as doc_id", "concat('d', id) as id", f"concat('{words}) as text").write.parquet(f"{sf}/documents.parquet")
+    spark.range(401).selectExpr("concat('q-', id) as id", f"if(id < 400, concat('{words}), 'nothing') as text", "concat('g', id % 20) as group_id", "'english' as bucket").write.parquet(f"{sf}/queries.parquet")
+    spark.range(401).selectExpr("concat('q-', id) as query_id", "concat('d', id) as document_id", "2 as grade").write.parquet(f"{sf}/judgments.parquet")
+    return sf
+
+
+@pytest.mark.parametrize("name", ["ret_failure_audit"])
+def test_rankings_of_judged_queries(spark, judged_tables, name):
+    import __spark_entry__ as entry
+    import oracle
+
+    before = shuffled(spark)
+    entry.queries()[name](spark, judged_tables).collect()
+    assert shuffled(spark) - before < 2_000_000  # there are 1.2 million pairs
+    assert not oracle.compare(spark, oracle.connect(judged_tables), judged_tables, entry.queries()[name], entry.oracle_sql()[name])
