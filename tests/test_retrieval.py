@@ -239,7 +239,7 @@ def judged_tables(spark, tmp_path_factory):
     return sf
 
 
-@pytest.mark.parametrize("name", ["ret_failure_audit", "ret_run_metrics", "ret_unmatched", "ret_misses"])
+@pytest.mark.parametrize("name", ["ret_failure_audit", "ret_run_metrics", "ret_unmatched", "ret_misses", "ret_analysis"])
 def test_rankings_of_judged_queries(spark, judged_tables, name):
     import __spark_entry__ as entry
     import oracle
