@@ -5,6 +5,9 @@ from __future__ import annotations
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from corpusloom.runtime import Scratch, need, sized_join
 
 SPLITS = ("train", "validation", "test")
 NEAR = 3
+#: Bits of the filter of runs that every task of overlaps() gets, 16 MB.
+BITS = 1 << 27
 
 
 def blank_is_null(c: str) -> Column:
@@ -292,39 +297,71 @@ def paragraphs(df: DataFrame, key: str, text: str, least: int = 8, most: int = 1
     return lines.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
 
 
+def _kept_runs(texts: DataFrame, runs: DataFrame, bits: int) -> DataFrame:
+    """(k, run): each of texts (k, runs) with those of its runs that are in runs (run), or fall on the bit of one that is.
+
+    A bit for every run's last digits, BITS at most, is what each task gets; the fuller, the more runs pass that are not there.
+    """
+    mask = bits - 1
+    places = runs.select(F.col("run").bitwiseAND(F.lit(mask)).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
+    held = np.zeros(bits >> 6, np.int64)
+    held[words["w"].to_numpy()] = words["b"].to_numpy()
+    sent = texts.sparkSession.sparkContext.broadcast(held)
+
+    def keep(batches):
+        for b in batches:
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
+            p = x & mask
+            some = np.flatnonzero(sent.value[p >> 6] >> (p & 63) & 1)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[some])), pa.array(x[some])], ["k", "run"])
+
+    return texts.mapInArrow(keep, f"k {texts.schema['k'].dataType.simpleString()}, run bigint")
+
+
 def overlaps(df: DataFrame, key: str, text: str, benchmark: DataFrame, item: str, item_text: str, n: int = 8, least: int = 3, part: float = 0.8) -> DataFrame:
     """(item, key, kind): texts equal to a benchmark item by key (canonical), or holding at least `least` and `part` of its
-    distinct runs of n canonical words (containment).
+    distinct runs of n canonical words (containment). Rows of one item, or of one key, are taken together.
 
-    Runs are 64-bit hashes. Those of the benchmark filter the corpus's before anything is shuffled, if they are few enough to
-    be broadcast; otherwise both sides are shuffled by hash. Numbers of one text are counted, so a hot run is only a number.
+    Runs are 64-bit hashes. Those of the benchmark filter the corpus's before anything is shuffled. A text that holds so many of
+    an item's runs holds one of any size - least + 1 of them, so only texts that share one of an item's rarest runs are
+    compared with it: runs that many items and texts share don't pair them.
     """
-    canonical = lambda c: F.transform(T.words(T.normalize(c)), lambda w: F.lower(F.regexp_replace(w, T.NOT_KEY, "")))
+    # signs leave all words of a text at once; words of signs alone stay as empty ones
+    plain = lambda t: F.lower(F.regexp_replace(t, T.NOT_KEY.replace("[^", "[^ "), ""))
+    canonical = lambda c: F.when(T.normalize(c) != "", F.split(plain(T.normalize(c)), " "))
     scratch = Scratch(df.sparkSession, "overlaps")
-    runs = scratch.save(benchmark.select(item, canonical(item_text).alias("w")).select(item, F.explode(T.run_hashes("w", n)).alias("run")), "runs")
-    sizes = scratch.save(runs.groupBy(item).agg(F.count("*").alias("size")), "sizes")
-    texts = df.select(key, canonical(text).alias("w")).select(key, F.explode(T.run_hashes("w", n)).alias("run"))
-    shared = sized_join(texts, runs, ["run"]).groupBy(item, key).agg(F.count("*").alias("shared"))
-    held = sized_join(shared, sizes, [item]).where((F.col("shared") >= least) & (F.col("shared") >= part * F.col("size")))
+    runs = benchmark.select(F.col(item).alias("i"), canonical(item_text).alias("w")).select("i", F.explode(T.run_hashes("w", n)).alias("run"))
+    runs = scratch.save(runs.distinct(), "runs")
+    per = scratch.save(runs.groupBy("run").agg(F.count("*").alias("items")), "per")
+    rarest, whole = Window.partitionBy("i").orderBy("items", "run"), Window.partitionBy("i")
+    ranked = sized_join(runs, per, ["run"]).select("i", "run", F.row_number().over(rarest).alias("place"), F.count("*").over(whole).alias("size"))
+    ranked = scratch.save(ranked, "ranked")
+    seeds = scratch.save(ranked.where(F.col("place") <= F.col("size") - F.greatest(F.lit(least), F.ceil(part * F.col("size"))) + 1).select("i", "run"), "seeds")
+    texts = df.select(F.col(key).alias("k"), canonical(text).alias("w")).select("k", T.run_hashes("w", n).alias("runs"))
+    bits = 1 << max(10, min(BITS.bit_length() - 1, (per.count() * 16).bit_length()))
+    hits = scratch.save(_kept_runs(texts, per, bits).distinct(), "hits")
+    pairs = scratch.save(sized_join(hits, seeds, ["run"]).select("i", "k").distinct(), "pairs")
+    shared = sized_join(ranked.select("i", "run", "size"), pairs, ["i"]).join(hits, ["k", "run"]).groupBy("i", "k").agg(F.count("*").alias("shared"), F.first("size").alias("size"))
+    held = shared.where((F.col("shared") >= least) & (F.col("shared") >= part * F.col("size")))
     equal = holdout_hits(df, key, text, benchmark, item, item_text).select(item, key, F.lit("canonical").alias("kind"))
-    return held.select(item, key, F.lit("containment").alias("kind")).unionByName(equal).distinct()
+    return held.select(F.col("i").alias(item), F.col("k").alias(key), F.lit("containment").alias("kind")).unionByName(equal).distinct()
 
 
 def overlap_audit(inputs: dict[str, DataFrame], key: str, fields: tuple[str, ...], benchmark: DataFrame, item: str, surfaces: tuple[str, ...]) -> DataFrame:
     """(input, field, key, intent, kind): overlaps() of every text field of every input with every surface of the benchmark."""
     faces = benchmark.select(F.col(item).alias("intent"), F.posexplode(F.array(*[F.col(c) for c in surfaces])).alias("place", "face")).where("face is not null")
     faces = faces.select(F.struct("intent", "place").alias("item"), "face")
-    out = None
+    texts = None
     for name, df in inputs.items():
-        texts = None
-        for f in (f for f in fields if f in df.columns):
-            one = df.select(F.struct(F.lit(f).alias("field"), F.col(key).cast("string").alias("key")).alias("k"), F.col(f).alias("text"))
-            texts = one if texts is None else texts.unionByName(one)
-        if texts is None:
+        there = [f for f in fields if f in df.columns]
+        if not there:
             raise ValueError(f"{name} has none of the fields {fields}")
-        hits = overlaps(texts, "k", "text", faces, "item", "face").select(F.lit(name).alias("input"), "k.field", "k.key", "item.intent", "kind")
-        out = hits if out is None else out.unionByName(hits)
-    return out.distinct()
+        for f in there:
+            one = df.select(F.struct(F.lit(name).alias("input"), F.lit(f).alias("field"), F.col(key).cast("string").alias("key")).alias("k"), F.col(f).alias("text"))
+            texts = one if texts is None else texts.unionByName(one)
+    return overlaps(texts, "k", "text", faces, "item", "face").select("k.input", "k.field", "k.key", "item.intent", "kind").distinct()
 
 
 def group_violations(df: DataFrame, group: str, split: str) -> DataFrame:

@@ -216,3 +216,21 @@ def test_every_number_of_blocks_finds_the_same_pairs(spark):
     for blocks in (None, 4, 5, 8):
         assert {tuple(r) for r in C.near_hashes(df, blocks=blocks).collect()} == want
     assert [C.blocks_for(n) for n in (10**3, 10**6, 10**9, 10**12)] == sorted(C.blocks_for(n) for n in (10**3, 10**6, 10**9, 10**12)) and C.blocks_for(10**9) >= 5
+
+
+def test_overlaps_do_not_pair_by_common_runs(spark):
+    from test_retrieval import shuffled
+
+    common = "a b c d e f g h i j"
+    items = spark.range(1500).selectExpr("id as i", f"concat('{common} ', concat_ws(' ', transform(sequence(1, 12), x -> concat('w', id, 'x', x)))) as x")
+    docs = spark.range(1500).selectExpr("id as d", f"concat('{common} ', concat_ws(' ', transform(sequence(1, 12), x -> concat(if(id < 3, 'w', 'v'), id, 'x', x)))) as t")
+    before = shuffled(spark)
+    got = C.overlaps(docs, "d", "t", items, "i", "x").where("kind = 'containment'").collect()
+    assert sorted((r.i, r.d) for r in got) == [(0, 0), (1, 1), (2, 2)] and shuffled(spark) - before < 3_000_000  # 2.25 million pairs share a run
+
+
+def test_overlaps_take_rows_of_a_key_together(spark):
+    words = [f"w{i}" for i in range(20)]
+    items = spark.createDataFrame([(1, " ".join(words))], "i int, x string")
+    docs = spark.createDataFrame([(1, " ".join(words[:14])), (1, " ".join(words[:14])), (2, " ".join(words[:13])), (2, " ".join(words[5:]) + " !"), (3, "? " + " ".join(words[:9]))], "d int, t string")
+    assert [(r.i, r.d, r.kind) for r in C.overlaps(docs, "d", "t", items, "i", "x").collect()] == [(1, 2, "containment")]
