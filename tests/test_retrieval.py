@@ -248,3 +248,12 @@ def test_rankings_of_judged_queries(spark, judged_tables, name):
     entry.queries()[name](spark, judged_tables).collect()
     assert shuffled(spark) - before < 2_000_000  # there are 1.2 million pairs
     assert not oracle.compare(spark, oracle.connect(judged_tables), judged_tables, entry.queries()[name], entry.oracle_sql()[name])
+
+
+def test_complete_qrels_are_not_shuffled(spark):
+    ids = spark.range(1200).selectExpr("'s' as split", "concat('i', id) as id")
+    asked, docs = ids.withColumnRenamed("id", "query_id"), ids.selectExpr("split", "id as document_id").unionByName(spark.createDataFrame([("s", None), ("t", "i0")], "split string, document_id string"))
+    grades = spark.createDataFrame([("i1", "i1", 2), ("i1", "i2", None), ("i3", "i9", 1), ("i4", "none", 1), ("none", "i4", 1)], QREL)
+    before = shuffled(spark)
+    made = V.complete_qrels(asked, docs, grades).groupBy("grade").count().collect()
+    assert {r.grade: r["count"] for r in made} == {2: 1, 1: 1, 0: 1200 * 1201 - 2} and shuffled(spark) - before < 1_000_000
