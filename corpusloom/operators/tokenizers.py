@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from array import array
 from pathlib import Path
 
 import numpy as np
@@ -121,14 +122,14 @@ class _Pairs:
         self.slot: dict[tuple[int, int], int] = {}
         self.names: list[tuple[int, int]] = []
         self.total = np.zeros(1024)
-        self.holders: list[set[int]] = []
+        self.holders: list[array] = []  # four bytes a word; some are there twice, or hold the pair no more
 
     def add(self, pair: tuple[int, int], x: float) -> int:
         k = self.slot.get(pair)
         if k is None:
             k = self.slot[pair] = len(self.names)
             self.names.append(pair)
-            self.holders.append(set())
+            self.holders.append(array("I"))
             if k >= len(self.total):
                 self.total = np.concatenate([self.total, np.zeros(len(self.total))])
         if self.total[k] >= 0:
@@ -165,6 +166,7 @@ def train_bpe(counts: DataFrame, vocab: int, longest: int) -> K.Model:
     """Merge the heaviest pair of neighbours until the vocabulary is full; ties go to the earlier made left, then right, piece.
 
     Spark checks and sums the words and totals their pairs of characters. The driver holds the distinct words, at most WORDS,
+    four bytes a symbol and as many for each pair of a word,
     and in each round merges the heaviest pairs together as far as no two of them share a symbol: until a pair that touches a
     merged one comes up, no total that matters can have changed, and a pair that a merge makes weighs no more than one that
     touches. Raises NoPairLeft, with the model made so far, if no pair is left before the vocabulary is full.
@@ -173,20 +175,27 @@ def train_bpe(counts: DataFrame, vocab: int, longest: int) -> K.Model:
         raise ValueError("vocabulary and length do not fit together")
     scratch = Scratch(counts.sparkSession, "bpe")
     checked = scratch.save(training_input(counts).groupBy("word").agg(F.sum("weight").alias("weight")), "words")
-    rows = checked.orderBy("word").limit(WORDS + 1).collect()
-    if len(rows) > WORDS:
+    if checked.count() > WORDS:
         raise ValueError(f"more than {WORDS} distinct words")
-    texts = sorted({c for r in rows for c in r.word})
+    rows = checked.toArrow().sort_by("word")  # by bytes, as Spark would
+    weight, size = rows["weight"].to_numpy().tolist(), pc.utf8_length(rows["word"]).to_numpy().astype(np.int32)
+    begin = np.append(0, np.cumsum(size.astype(np.int64)))
+    flat = np.concatenate([np.frombuffer("".join(c.to_pylist()).encode("utf-32-le"), np.int32) for b in rows["word"].chunks for c in (b[i : i + 100_000] for i in range(0, len(b), 100_000))])
+    del rows
+    chars = np.unique(flat)
+    flat = np.searchsorted(chars, flat).astype(np.int32)  # symbols of all words, one after the other; merges shorten a word in its place
+    texts = [chr(c) for c in chars.tolist()]
     if len(texts) + K.PIECES > vocab:
         raise ValueError(f"{len(texts)} characters do not fit in the vocabulary")
     place = {t: k for k, t in enumerate(texts)}
-    pairs, words, weight = _Pairs(), [[place[c] for c in r.word] for r in rows], [r.weight for r in rows]
+    pairs = _Pairs()
     for r in pair_totals(checked).collect():  # pairs of characters
         pairs.add((place[r.a], place[r.b]), r.weight)
     scratch.drop("words")
-    for w, symbols in enumerate(words):
+    for w in range(len(size)):
+        symbols = flat[begin[w] : begin[w + 1]].tolist()
         for p in zip(symbols, symbols[1:]):
-            pairs.holders[pairs.slot[p]].add(w)
+            pairs.holders[pairs.slot[p]].append(w)
     merges: list[tuple[int, int, int]] = []
     while len(texts) + K.PIECES < vocab:
         to, used, dull = {}, set(), 0
@@ -209,21 +218,24 @@ def train_bpe(counts: DataFrame, vocab: int, longest: int) -> K.Model:
                 break
         if not to and not dull:
             raise NoPairLeft(f"no pair is left to merge at {len(texts) + K.PIECES} of {vocab}", K.Model("bpe", [(t, 0.0) for t in texts], merges))
-        for w in sorted(set().union(*[pairs.holders[pairs.slot[p]] for p in to])):
-            old, new, i = words[w], [], 0
+        for w in np.unique(np.concatenate([np.array(pairs.holders[pairs.slot[p]], np.uint32) for p in to] or [np.zeros(0, np.uint32)])).tolist():
+            old, new, i = flat[begin[w] : begin[w] + size[w]].tolist(), [], 0
             while i < len(old):
                 made = to.get((old[i], old[i + 1])) if i + 1 < len(old) else None
                 new.append(old[i] if made is None else made)
                 i += 1 if made is None else 2
             if len(new) == len(old):
                 continue
-            words[w] = new
+            flat[begin[w] : begin[w] + len(new)], size[w] = new, len(new)
+            was = set(zip(old, old[1:]))
             for p in zip(old, old[1:]):
                 pairs.add(p, -weight[w])
             for p in zip(new, new[1:]):
-                pairs.holders[pairs.add(p, weight[w])].add(w)
+                k = pairs.add(p, weight[w])
+                if p not in was:
+                    pairs.holders[k].append(w)
         for p in to:
-            pairs.holders[pairs.slot[p]] = set()
+            pairs.holders[pairs.slot[p]] = array("I")
     return K.Model("bpe", [(t, 0.0) for t in texts], merges)
 
 

@@ -260,3 +260,14 @@ def test_bpe_rounds_equal_one_merge_after_the_other(spark):
                 new.append((out, x))
             words = new
         assert [tuple(m) for m in model.merges] == merges
+
+
+def test_bpe_holds_words_in_few_bytes(spark):
+    import tracemalloc
+
+    counts = spark.range(20_000).selectExpr("concat('w', sha2(cast(id as string), 256)) as word", "cast(1 + id % 7 as double) as weight")
+    tracemalloc.start()
+    O.train_bpe(counts, K.PIECES + 30, 16)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20_000 * 65 * 30  # bytes a symbol
