@@ -250,6 +250,22 @@ def test_rankings_of_judged_queries(spark, judged_tables, name):
     assert not oracle.compare(spark, oracle.connect(judged_tables), judged_tables, entry.queries()[name], entry.oracle_sql()[name])
 
 
+@pytest.mark.parametrize("name", ["ret_run_metrics"])
+def test_rankings_over_many_parts(spark, judged_tables, monkeypatch, name):
+    """What is shuffled does not grow with the parts of the documents, nor does the result change."""
+    import __spark_entry__ as entry
+    import oracle
+
+    spent = []
+    for postings in (V.POSTINGS, 1000):
+        monkeypatch.setattr(V, "POSTINGS", postings)
+        before = shuffled(spark)
+        entry.queries()[name](spark, judged_tables).collect()
+        spent.append(shuffled(spark) - before)
+    assert spent[1] - spent[0] < 300_000
+    assert not oracle.compare(spark, oracle.connect(judged_tables), judged_tables, entry.queries()[name], entry.oracle_sql()[name])
+
+
 def test_complete_qrels_are_not_shuffled(spark):
     ids = spark.range(1200).selectExpr("'s' as split", "concat('i', id) as id")
     asked, docs = ids.withColumnRenamed("id", "query_id"), ids.selectExpr("split", "id as document_id").unionByName(spark.createDataFrame([("s", None), ("t", "i0")], "split string, document_id string"))
