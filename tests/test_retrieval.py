@@ -266,6 +266,21 @@ def test_rankings_over_many_parts(spark, judged_tables, monkeypatch, name):
     assert not oracle.compare(spark, oracle.connect(judged_tables), judged_tables, entry.queries()[name], entry.oracle_sql()[name])
 
 
+def test_unmatched_queries_need_no_ranking(spark, judged_tables, monkeypatch):
+    import __spark_entry__ as entry
+    import oracle
+
+    def refuse(*args, **kw):
+        raise AssertionError("documents are ranked")
+
+    monkeypatch.setattr(V, "bm25", refuse)
+    assert not oracle.compare(spark, oracle.connect(judged_tables), judged_tables, entry.queries()["ret_unmatched"], entry.oracle_sql()["ret_unmatched"])
+    docs = spark.createDataFrame([("a", "ভালো ফোন"), ("b", None), ("c", "")], "d string, t string")
+    asked = spark.createDataFrame([("1", "ভালো"), ("1", "x"), ("2", "valo"), ("3", None), ("4", "!")], "q string, x string")
+    assert [r.q for r in V.matched(docs, "t", asked, "q", "x").collect()] == ["1"]
+    assert V.matched(docs.where("d <> 'a'"), "t", asked, "q", "x").isEmpty()
+
+
 def test_complete_qrels_are_not_shuffled(spark):
     ids = spark.range(1200).selectExpr("'s' as split", "concat('i', id) as id")
     asked, docs = ids.withColumnRenamed("id", "query_id"), ids.selectExpr("split", "id as document_id").unionByName(spark.createDataFrame([("s", None), ("t", "i0")], "split string, document_id string"))
