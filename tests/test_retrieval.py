@@ -250,7 +250,7 @@ def test_rankings_of_judged_queries(spark, judged_tables, name):
     assert not oracle.compare(spark, oracle.connect(judged_tables), judged_tables, entry.queries()[name], entry.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", ["ret_run_metrics", "ret_misses"])
+@pytest.mark.parametrize("name", ["ret_run_metrics", "ret_misses", "ret_analysis"])
 def test_rankings_over_many_parts(spark, judged_tables, monkeypatch, name):
     """What is shuffled does not grow with the parts of the documents, nor does the result change."""
     import __spark_entry__ as entry
