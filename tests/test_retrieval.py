@@ -288,3 +288,27 @@ def test_complete_qrels_are_not_shuffled(spark):
     before = shuffled(spark)
     made = V.complete_qrels(asked, docs, grades).groupBy("grade").count().collect()
     assert {r.grade: r["count"] for r in made} == {2: 1, 1: 1, 0: 1200 * 1201 - 2} and shuffled(spark) - before < 1_000_000
+
+
+def test_complete_qrels_take_few_bytes(spark, tmp_path):
+    ids = spark.range(2000).selectExpr("'s' as split", "concat('business-', lpad(id, 7, '0')) as id")
+    grades = ids.selectExpr("id as query_id", "id as document_id", "2 as grade")
+    V.complete_qrels(ids.withColumnRenamed("id", "query_id"), ids.withColumnRenamed("id", "document_id"), grades).write.parquet(str(tmp_path / "o"))
+    made = spark.read.parquet(str(tmp_path / "o"))
+    assert made.count() == 2000**2 and made.where("grade = 2 and query_id = document_id").count() == 2000 == made.where("grade <> 0").count()
+    assert sum(p.stat().st_size for p in (tmp_path / "o").glob("*.parquet")) < 2000**2 // 4
+
+
+@pytest.mark.parametrize("tile, line, lines", [(200, 50, 300), (7, 3, 2), (1, 1, 1)])
+def test_complete_qrels_in_cells(spark, monkeypatch, tile, line, lines):
+    """Whole with any cells: splits of all sizes, repeated and null ids, ids of two splits, grades of absent and of null ids."""
+    for name, value in (("TILE", tile), ("LINE", line), ("LINES", lines), ("LEAST_PAIRS", 10)):
+        monkeypatch.setattr(V, name, value)
+    asked = [("s", f"i{k}") for k in range(40)] + [("t", "i1"), ("t", "i1"), ("t", None), ("u", "x"), (None, "i2"), ("alone", "y")]
+    docs = [("s", f"i{k}") for k in range(33)] + [("s", None), ("s", "i5"), ("t", "i2"), ("t", "i1"), ("u", "i1"), (None, "i2"), ("other", "z")]
+    grades = [(f"i{k}", f"i{k}", 2) for k in range(40)] + [("i1", "i2", None), ("i3", "i9", 1), ("none", "i4", 1), ("i4", "none", 1), (None, "i1", 1), ("i7", None, 1)]
+    known = {(q, d): g or 0 for q, d, g in grades if q and d}
+    want = sorted((s, q or "", d or "", known.get((q, d), 0)) for s, q in asked for s2, d in docs if s and s == s2)
+    made = V.complete_qrels(spark.createDataFrame(asked, "split string, query_id string"), spark.createDataFrame(docs, "split string, document_id string"), spark.createDataFrame(grades, QREL))
+    assert sorted((r.split, r.query_id or "", r.document_id or "", r.grade) for r in made.collect()) == want
+    assert V.complete_qrels(spark.createDataFrame([], "split string, query_id string"), spark.createDataFrame(docs, "split string, document_id string"), spark.createDataFrame(grades, QREL)).isEmpty()
